@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .runtime import slices
 
 #: Pieces (text between spaces) kept in a worker's cache; when there are more, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: Pieces longer than this many characters are merged each time rather than cached.
 CACHE_CHARS = 64
 
@@ -84,7 +85,7 @@ class ByteBPE:
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.added = added
-        self.tight = regex.compile(r"\s\s")
+        self.tight = re.compile(r"\s\s")
         self._forget()
 
     def _forget(self) -> None:
@@ -93,33 +94,46 @@ class ByteBPE:
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair and the id it merges to; pairs that don't merge get _NONE."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NONE), self.merged[at]
+
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges symbols (ids of bytes) of many words; word: the number of each symbol's word, ascending. Same shape out."""
+        """Merges symbols (ids of bytes) of many words; word: the number of each symbol's word, ascending. Same shape out.
+
+        rank[i] and into[i] belong to the pair (i, i + 1); a round looks up anew only pairs beside what it merged.
+        """
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbols):
-            n = len(symbols)
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(n, _NONE)
-            joined = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][joined] = self.rank[at[joined]]
+        symbols, rank, into = symbols.copy(), np.full(len(symbols), _NONE), np.zeros(len(symbols), np.int64)
+
+        def look(i: np.ndarray) -> None:
+            rank[i] = _NONE
+            i = i[i < len(word) - 1]
+            i = i[word[i] == word[i + 1]]
+            rank[i], into[i] = self._ranks(symbols[i], symbols[i + 1])
+
+        look(np.arange(len(symbols)))
+        while n := len(symbols):
             head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            size = np.diff(np.r_[head, n])
-            best = np.repeat(np.minimum.reduceat(rank, head), size)
+            best = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.r_[head, n]))
             over = best == _NONE
             hits = np.flatnonzero((rank == best) & ~over)
             # overlapping occurrences (x x x): the first, third, ... of a run are merged
-            fresh = np.r_[True, np.diff(hits) != 1] if len(hits) else np.zeros(0, bool)
-            since = np.arange(len(hits)) - np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-            hits = hits[since % 2 == 0]
-            symbols = symbols.copy()
-            symbols[hits] = self.merged[at[hits]]
+            place = np.arange(len(hits))
+            fresh = np.r_[True, np.diff(hits) != 1][: len(hits)]
+            hits = hits[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+            symbols[hits] = into[hits]
             keep = np.ones(n, bool)
             keep[hits + 1] = False
             if over.any():
                 out.append((symbols[over], word[over]))
                 keep &= ~over
-            symbols, word = symbols[keep], word[keep]
+            new = np.cumsum(keep) - 1
+            symbols, word, rank, into = symbols[keep], word[keep], rank[keep], into[keep]
+            at = new[hits]
+            look(np.concatenate([at, at[at > 0] - 1]))
         if not out:
             return symbols, word
         ids, of = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
@@ -128,8 +142,9 @@ class ByteBPE:
 
     def encode_strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all strings, one after the other, and how many each has. Added tokens are not looked for."""
-        words = [w.encode() for s in strings for w in self.words.findall(s)]
-        per = np.array([sum(1 for _ in self.words.finditer(s)) for s in strings], np.int64) if len(words) != len(strings) else np.ones(len(strings), np.int64)
+        found = [self.words.findall(s) for s in strings]
+        per = np.array([len(x) for x in found], np.int64)
+        words = [w.encode() for x in found for w in x]
         size = np.array([len(w) for w in words], np.int64)
         symbols = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         ids, word = self.merge(symbols, np.repeat(np.arange(len(words)), size))

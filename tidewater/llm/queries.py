@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import bpe, chat_format, exact_dedup, language_id, quality_rules
 from .runtime import table
 
 
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": lambda s, d: exact_dedup.op1_exact_dedup(s, table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality_rules.op7_quality_rules(table(s, d, "documents")),
+        "op8_language_id": lambda s, d: language_id.op8_language_id(table(s, d, "documents")),
+        "op9_chat_format": lambda s, d: chat_format.op9_chat_format(s, table(s, d, "conversations")),
+        "op10_bpe": lambda s, d: bpe.bpe_digests(table(s, d, "documents"), bpe.tokenizer_path()),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_chat_format": chat_format.ORACLE}
