@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, quality_rules
+from . import bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, quality_rules
 from .runtime import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": lambda s, d: exact_dedup.op1_exact_dedup(s, table(s, d, "documents")),
+        "op2_near_dedup": lambda s, d: near_dedup.near_dedup(table(s, d, "documents")),
         "op3_html_extract": lambda s, d: html_extract.html_extract(table(s, d, "pages")),
         "op7_quality_rules": lambda s, d: quality_rules.op7_quality_rules(table(s, d, "documents")),
         "op8_language_id": lambda s, d: language_id.op8_language_id(table(s, d, "documents")),

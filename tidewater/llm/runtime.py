@@ -53,8 +53,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
 
     groups[size] is the number of rows of the key. Keys above max(HEAVY_ROWS, n_rows / HEAVY_GROUPS) rows are joined by
     broadcast; as the sizes sum to n_rows there are at most HEAVY_GROUPS of them. All others go through a sort-merge join,
-    where no task gets more than that many rows of one key. Null keys match each other.
+    where no task gets more than that many rows of one key. If there are no more than HEAVY_GROUPS keys at all, they are
+    broadcast. Null keys match each other. groups should be a written table, as it is counted; rows of it must be narrow.
     """
+    if groups.count() <= HEAVY_GROUPS:
+        small = groups.withColumnRenamed(key, "_key")
+        return rows.join(F.broadcast(small), rows[key].eqNullSafe(small["_key"]), "inner").drop("_key")
     limit = max(HEAVY_ROWS, n_rows // HEAVY_GROUPS)
     right = groups.withColumnRenamed(key, "_key")
     heavy, light = right.where(F.col(size) > limit), right.where(F.col(size) <= limit)
