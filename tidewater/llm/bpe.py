@@ -254,10 +254,11 @@ def bpe_decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), ids_col).mapInArrow(run, "doc_id long, text string")
 
 
-def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip.
+def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip; with_ids adds
+    ids (array<int>).
 
-    Ids never leave the worker. Nulls, empty texts and repeated rows as in bpe_encode.
+    Nulls, empty texts and repeated rows as in bpe_encode.
     """
     shared = share(docs, path)
 
@@ -266,17 +267,18 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         number = [str(i) for i in range(len(bpe.token_len))]
         for batch in batches:
             for doc_ids, texts, ids in encoded(batch, bpe):
-                said = [hashlib.sha256(",".join(map(number.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
                 back = [bpe.decode(x).encode() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(said), pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                        pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
-                )
-
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+                out = {
+                    "doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(number.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back]), "round_trip": pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)]),
+                }
+                if with_ids:
+                    out["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, near_dedup, quality_rules
+import corpus_pipeline
+
+from . import bpe, chat_format, exact_dedup, html_extract, language_id, mixing, near_dedup, packing, quality_model, quality_rules
 from .runtime import table
 
 
@@ -15,10 +17,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": lambda s, d: exact_dedup.op1_exact_dedup(s, table(s, d, "documents")),
         "op2_near_dedup": lambda s, d: near_dedup.near_dedup(table(s, d, "documents")),
         "op3_html_extract": lambda s, d: html_extract.html_extract(table(s, d, "pages")),
+        "op4_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
+        "op5_packing": lambda s, d: packing.pack_digests(table(s, d, "documents"), bpe.tokenizer_path()),
+        "op6_quality_model": lambda s, d: quality_model.quality_model(table(s, d, "documents"), table(s, d, "labels")),
         "op7_quality_rules": lambda s, d: quality_rules.op7_quality_rules(table(s, d, "documents")),
         "op8_language_id": lambda s, d: language_id.op8_language_id(table(s, d, "documents")),
         "op9_chat_format": lambda s, d: chat_format.op9_chat_format(s, table(s, d, "conversations")),
         "op10_bpe": lambda s, d: bpe.bpe_digests(table(s, d, "documents"), bpe.tokenizer_path()),
+        "pipeline": corpus_pipeline.run,
     }
 
 
