@@ -143,7 +143,7 @@ class Engine:
         parts = [(0.60, sim)]
         parts += [(w, F.when(equal[k], 100.0).when(apart[k], 0.0)) for k, w in (("email", 0.20), ("phone", 0.15))]
         weight = reduce(Column.__add__, (F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in parts))
-        score = reduce(Column.__add__, (F.coalesce(v * w, F.lit(0.0)) for w, v in parts)) / weight
+        score = F.try_divide(reduce(Column.__add__, (F.coalesce(v * w, F.lit(0.0)) for w, v in parts)), weight)
         close = F.coalesce((sim >= threshold) | ((sim >= threshold - 10) & (score >= threshold)), F.lit(False))
         proof = gov | (equal["email"] & ~apart["email"]) | (equal["phone"] & ~apart["phone"])
         out = both.withColumn("decision", decision).withColumn("link", (F.col("decision") == "merge") | ((F.col("decision") == "skip") & close & proof))

@@ -13,7 +13,7 @@ from .shared import numbers, q, rows_frame, stats_row, strings
 
 
 def _parts(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def email_problem(x: Column) -> Column:
