@@ -205,13 +205,15 @@ def _last(a: list[int], b: list[int]) -> int:
     return row
 
 
-def main_text(lines: list[str], parts: list[int], paragraphs: list[bool], marks: list[int], other: tuple[list[int], list[int]] | None) -> str:
-    """Text of one page. marks: hashes of its lines; other: hashes and parts of the page it is compared with."""
-    gone: set[int] = set()
-    if other is not None:
-        for i, j in shared_lines(marks, other[0]):
-            if parts[i] == PLAIN or parts[i] == CORE and other[1][j] == EDGE and not paragraphs[i]:
-                gone.add(i)
+def deletions(parts: list[int], paragraphs: list[bool], marks: list[int], other: tuple[list[int], list[int]]) -> list[int]:
+    """Numbers of the lines of a page that go because the other page (marks and parts of its lines) has them too, and that
+    would be main text otherwise."""
+    kept = CORE if CORE in parts else PLAIN
+    return [i for i, j in shared_lines(marks, other[0]) if parts[i] == kept and (kept == PLAIN or other[1][j] == EDGE and not paragraphs[i])]
+
+
+def main_text(lines: list[str], parts: list[int], gone: set[int] | list[int] = ()) -> str:
+    """Text of a page without the lines that go: of the article if there is one, else of what stands in no named part."""
     kept = CORE if CORE in parts else PLAIN
     return "\n\n".join(x for i, x in enumerate(lines) if parts[i] == kept and i not in gone)
 
@@ -220,76 +222,100 @@ def _mark(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_LINES = "row long, page_id long, url string, lines array<string>, parts binary, marks array<long>"
-
-
-def _to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, url, html) -> (key, url, marks, parts); a byte of parts holds the part and the paragraph flag of a line."""
     for batch in batches:
-        rows, ids, urls, pages = (c.to_pylist() for c in batch.columns)
-        pages = [x or "" for x in pages]
+        pages = [x or "" for x in batch.column(2).to_pylist()]
         for a, b in slices(pages):
             found = [lines_of(x) for x in pages[a:b]]
-            # a part and its paragraph flag in a byte; lines that can't be main text are kept as hashes only
             parts = [bytes(p | q << 2 for p, q in zip(ps, qs, strict=True)) for _, ps, qs in found]
             marks = [[_mark(x) for x in xs] for xs, _, _ in found]
-            lines = [[x if p != EDGE else "" for x, p in zip(xs, ps, strict=True)] for xs, ps, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[a:b], pa.int64()), pa.array(ids[a:b], pa.int64()), pa.array(urls[a:b], pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(parts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-                ["row", "page_id", "url", "lines", "parts", "marks"],
-            )
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array(parts, pa.binary())], ["key", "url", "marks", "parts"])
+
+
+def _to_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, marks, parts, near_marks, near_parts) -> (key, gone), pages without deletions left out."""
+    for batch in batches:
+        keys, out = [], []
+        for key, marks, parts, near_marks, near_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if gone := deletions([x & 3 for x in parts], [bool(x >> 2) for x in parts], marks, (near_marks, [x & 3 for x in near_parts])):
+                keys.append(key)
+                out.append(gone)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, html, gone) -> (page_id, url, text, n_chars)."""
     for batch in batches:
-        out = []
-        for page_id, url, lines, parts, marks, near_marks, near_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            other = None if near_marks is None else (near_marks, [x & 3 for x in near_parts])
-            text = main_text(lines, [x & 3 for x in parts], [bool(x >> 2) for x in parts], marks, other)
-            out.append((page_id, url, text, len(text)))
-        if out:
-            ids, urls, texts, sizes = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars"])
+        pages = [x or "" for x in batch.column(2).to_pylist()]
+        gone = batch.column(3).to_pylist()
+        for a, b in slices(pages):
+            texts = []
+            for page, out in zip(pages[a:b], gone[a:b], strict=True):
+                lines, parts, _ = lines_of(page)
+                texts.append(main_text(lines, parts, set(out or ())))
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def neighbours(lines: DataFrame) -> DataFrame:
-    """(row, near_marks, near_parts): the page each page is compared with; pages without one are left out.
+def neighbours(marks: DataFrame) -> DataFrame:
+    """(key, near): the page each page is compared with; pages without one are left out.
 
     Pages are sorted by host and path over all partitions and numbered; a page's neighbours are the numbers beside it, found
     by equi-joins, so a host of any size is spread over many tasks. Of the two, the one with the longer common path wins
     (the earlier on a tie), unless its lines are all the same.
     """
-    spark = lines.sparkSession
-    place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)", 0)
-    rows = lines.select("row", "marks", "parts", F.lower(F.regexp_extract(place, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)", 1)).alias("host"), F.regexp_replace(place, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*", "").alias("path"))
-    ordered = rows.repartitionByRange(partitions(spark), "host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("id", F.monotonically_increasing_id())
+    spark = marks.sparkSession
+    url = F.coalesce("url", F.lit(""))
+    scheme = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+    host, path = F.lower(F.regexp_extract(url, scheme + r"([^/?#]*)", 1)), F.regexp_extract(url, scheme + r"[^/?#]*([^?#]*)", 1)
+    rows = marks.select("key", F.xxhash64("marks").alias("same"), host.alias("host"), path.alias("path"))
+    ordered = rows.repartitionByRange(partitions(spark), "host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("id", F.monotonically_increasing_id())
     ordered = written(ordered, "page-order")
     counts = sorted(ordered.groupBy(F.shiftright("id", 33).alias("p")).count().collect())  # one row a partition
     before = dict(zip([r[0] for r in counts], accumulate([0, *(r[1] for r in counts)]), strict=False))
     if not before:
-        return ordered.select("row", F.col("marks").alias("near_marks"), F.col("parts").alias("near_parts"))
+        return ordered.select("key", F.col("key").alias("near"))
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.shiftright("id", 33))
     ordered = ordered.withColumn("n", offset + F.col("id").bitwiseAND((1 << 33) - 1)).drop("id")
-    beside = ordered.select("n", F.struct("host", "path", "marks", "parts").alias("x"))
+    beside = ordered.select("n", F.struct("host", "path", "key", "same").alias("x"))
     both = ordered.join(beside.select((F.col("n") + 1).alias("n"), F.col("x").alias("before")), "n", "left").join(beside.select((F.col("n") - 1).alias("n"), F.col("x").alias("after")), "n", "left")
 
     def common(x: str) -> F.Column:
-        fits = (F.col(f"{x}.host") == F.col("host")) & (F.col(f"{x}.marks") != F.col("marks"))
+        fits = (F.col(f"{x}.host") == F.col("host")) & (F.col(f"{x}.same") != F.col("same"))
         size = F.length("path") - F.length(F.regexp_extract(F.concat_ws("\x00", F.col("path"), F.col(f"{x}.path")), r"^(.*)([^\x00]*)\x00\1", 2))
         return F.when(fits, size)
 
     before_, after_ = F.coalesce(common("before"), F.lit(-1)), F.coalesce(common("after"), F.lit(-1))
-    near = F.when((before_ >= after_) & (before_ >= 0), F.col("before")).when(after_ >= 0, F.col("after"))
-    return both.withColumn("near", near).where(F.col("near").isNotNull()).select("row", F.col("near.marks").alias("near_marks"), F.col("near.parts").alias("near_parts"))
+    near = F.when((before_ >= after_) & (before_ >= 0), F.col("before.key")).when(after_ >= 0, F.col("after.key"))
+    return both.select("key", near.alias("near")).where("near IS NOT NULL")
+
+
+#: Pages with deletions that are broadcast (a key and a few numbers each); more are joined by sort-merge.
+MOST_BROADCAST = 200_000
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of pages.
 
     Blocks are joined by two line ends. A null or empty page, or one without main text, gives an empty text. A null url is a
-    host of its own. Rows that repeat a page are compared with other pages; the only page of a host is not compared. An
-    empty table gives no rows; other columns play no part.
+    host of its own. Rows that repeat a page have one neighbour and the same text; the only page of a host is not compared.
+    An empty table gives no rows; other columns play no part.
+
+    Pages are read twice: once for hashes of their lines, which are all that is paired and aligned, and once for their texts,
+    so pages themselves are neither written nor shuffled (unless very many have deletions).
     """
-    source = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    lines = written(source.mapInArrow(_to_lines, _LINES), "page-lines")
-    joined = lines.join(neighbours(lines), "row", "left").select("page_id", "url", "lines", "parts", "marks", "near_marks", "near_parts")
-    return joined.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")
+    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    text = F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("\x01")), F.coalesce("url", F.lit("\x01")), F.coalesce("html", F.lit("")))
+    keyed = source.withColumn("key", F.unhex(F.md5(text.cast("binary"))))
+    marks = keyed.select("key", "url", "html").mapInArrow(_to_marks, "key binary, url string, marks array<long>, parts binary")
+    marks = written(marks.dropDuplicates(["key"]), "page-marks")
+    near = neighbours(marks)
+    other = marks.select(F.col("key").alias("near"), F.col("marks").alias("near_marks"), F.col("parts").alias("near_parts"))
+    paired = marks.join(near, "key").join(other, "near").select("key", "marks", "parts", "near_marks", "near_parts")
+    gone = written(paired.mapInArrow(_to_gone, "key binary, gone array<int>"), "page-gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("merge")
+    out = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
+    return out.mapInArrow(_to_text, "page_id long, url string, text string, n_chars long")
