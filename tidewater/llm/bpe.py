@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .runtime import slices
 
 #: Pieces (text between spaces) kept in a worker's cache; when there are more, it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: Pieces longer than this many characters are merged each time rather than cached.
 CACHE_CHARS = 64
 

@@ -7,20 +7,36 @@ rooms there are. A row of output is a row of the id matrix with its cumulative s
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoded, share, tokenizer
-from .runtime import partitions
+from .bpe import PATTERN, share
+from .runtime import partitions, slices
 
 LENGTH = 2048
 #: Characters of text that make a shard, on average; a shard is packed in one task's memory.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 2_000_000
+
+
+_encoders: dict[str, tiktoken.Encoding] = {}
+
+
+def encoder(shared: Broadcast) -> tiktoken.Encoding:
+    """This worker's byte-level BPE encoder for the broadcast bytes of a file of ranks (base64 token and rank a line)."""
+    raw = shared.value
+    key = hashlib.sha256(raw).hexdigest()
+    if key not in _encoders:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
+        _encoders[key] = tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[key]
 
 
 class Rooms:
@@ -98,7 +114,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
     """Packed rows of all texts' ids: shard, seq (number in the shard), n_tokens, doc_ids and pieces (of each segment),
     cu_seqlens (0 and each segment's end), ids and position_ids (int32, little endian, n_tokens each).
 
-    A text of more than `length` ids is cut into pieces numbered from 0; put together in order they are the text's ids. Null
+    path: a file of ranks of a byte-level BPE; its special tokens' strings are ordinary text here. A text of more than `length` ids is cut into pieces numbered from 0; put together in order they are the text's ids. Null
     and empty texts have no ids and no segment. Repeated rows are packed each. A null id is packed as such. Shards follow
     from ids, pieces and the characters of all texts alone, rows of a shard from its pieces, so results don't depend on
     how the input is split. An empty table gives no rows.
@@ -108,10 +124,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
     shards = max(1, -(-int(chars) // shard_chars))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(shared)
+        encode = encoder(shared).encode_ordinary
         for batch in batches:
-            for doc_ids, _, ids in encoded(batch, bpe):
-                out = [(d, k, min(length, len(x) - a), x[a : a + length].astype("<i4").tobytes()) for d, x in zip(doc_ids, ids, strict=True) for k, a in enumerate(range(0, len(x), length))]
+            doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for start, end in slices(texts):
+                ids = [np.array(encode(x), "<i4") for x in texts[start:end]]
+                out = [(d, k, min(length, len(x) - a), x[a : a + length].tobytes()) for d, x in zip(doc_ids[start:end], ids, strict=True) for k, a in enumerate(range(0, len(x), length))]
                 if out:
                     d, k, n, b = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(b, pa.binary())], ["doc_id", "piece", "n", "ids"])

@@ -18,7 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": lambda s, d: near_dedup.near_dedup(table(s, d, "documents")),
         "op3_html_extract": lambda s, d: html_extract.html_extract(table(s, d, "pages")),
         "op4_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
-        "op5_packing": lambda s, d: packing.pack_digests(table(s, d, "documents"), bpe.tokenizer_path()),
+        "op5_packing": lambda s, d: packing.pack_digests(table(s, d, "documents"), bpe.tokenizer_path("byte_bpe_50k.tiktoken")),
         "op6_quality_model": lambda s, d: quality_model.quality_model(table(s, d, "documents"), table(s, d, "labels")),
         "op7_quality_rules": lambda s, d: quality_rules.op7_quality_rules(table(s, d, "documents")),
         "op8_language_id": lambda s, d: language_id.op8_language_id(table(s, d, "documents")),
