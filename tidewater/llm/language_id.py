@@ -56,7 +56,7 @@ class SuffixAutomaton:
     """Transitions of the suffix automaton of some bytes, over symbols 0 .. width - 1.
 
     next[state * width + symbol] is the next state times width, or -1. root[symbol] is the state after a phrase begins with
-    symbol: 0 where the text lacks it.
+    symbol: `dead`, which nothing goes on from, where the text lacks it.
     """
 
     def __init__(self, data: bytes, symbol: np.ndarray, width: int):
@@ -85,11 +85,12 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = clone
             last = new
-        self.next = np.full(len(moves) * width, -1, np.int32)
+        self.next = np.full((len(moves) + 1) * width, -1, np.int32)
         for state, out in enumerate(moves):
             for c, to in out.items():
                 self.next[state * width + c] = to * width
-        self.root = np.maximum(self.next[:width], 0)
+        self.dead = len(moves) * width
+        self.root = np.where(self.next[:width] < 0, self.dead, self.next[:width]).astype(np.int32)
         self.bits = float(np.log2(max(len(data), 2)))
 
 
@@ -109,8 +110,8 @@ class LanguageModel:
         order = np.argsort(-size, kind="stable")
         start, size, of = start[order], size[order], of[order]
         live = len(size) - np.searchsorted(size[::-1], np.arange(BLOCK), side="right")
-        state = np.zeros((len(self.automata), len(size)), np.int32)
-        count = np.ones((len(self.automata), len(size)), np.int32)
+        state = np.repeat(np.array([[a.dead] for a in self.automata], np.int32), len(size), 1) if self.automata else np.zeros((0, len(size)), np.int32)
+        count = np.zeros((len(self.automata), len(size)), np.int32)
         for j in range(int(size[0]) if len(size) else 0):
             m = live[j]
             c = symbols[start[:m] + j]
