@@ -22,7 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, label) of every node of the edges (a, b long): label is the least node of its component.
 
     Rows are written between steps. Nodes with any number of edges are spread over tasks. Self-links and repeated edges are
-    allowed; an empty table gives no rows. Ends when a round changes nothing; a graph not done in most_rounds raises.
+    allowed; an empty table gives no rows. Ends when all components are stars, or a round changes nothing; a graph not done in most_rounds raises.
     """
     clean = lambda e: e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sign = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
@@ -34,7 +34,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         n = now.count()
         now = written(clean(_star(now.select(F.col("b").alias("u"), F.col("a").alias("v")), False, n)), "small-star")
         after = sign(now)
-        if after == before:
+        # stars already: each b has one a, and no a is a b
+        stars = now.groupBy("b").count().where("count > 1").isEmpty() and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        if stars or after == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
         before = after
     raise RuntimeError(f"components are not complete after {most_rounds} rounds")
