@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewater.config import ImputationRule
+from tidewater.functions import fuzzy
 from tidewater.operators import classify, currency, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
 from tidewater.operators.shared import numbered
 
@@ -109,6 +110,34 @@ def test_mapping(spark):
     assert {r[0] for r in mapping.standardize_case(typos, "u").collect()} == {"High", "Hgih", "Low"}
 
 
+def test_name_clusters_equal_all_pairs(spark, monkeypatch):
+    random.seed(8)
+    base = ["Catherine Smith", "Raj Sharma", "Émile Zola", "Li", "Anne-Marie du Pont", "Ян Ким", "Zoe Ng", "Ravi  kumar"]
+    names = ["Katherine Smith", " ", "", "x"] + base
+    for _ in range(150):
+        x = list(random.choice(base))
+        for _ in range(random.randrange(4)):
+            x[random.choice([0, random.randrange(len(x))])] = random.choice("abkzXé ")
+        names.append("".join(x))
+    names += random.choices(names, k=100)
+    count = {x: names.count(x) for x in names}
+    clusters = []  # of [opening name, members]
+    for x in sorted(count):
+        for c in clusters:
+            if fuzzy.token_sort_ratio(x.lower(), c[0].lower()) >= 80:
+                c[1].append(x)
+                break
+        else:
+            clusters.append([x, [x]])
+    wanted = {x: min(c[1], key=lambda y: (-count[y], -len(y), y)) for c in clusters for x in c[1]}
+    assert wanted["Catherine Smith"] == wanted["Katherine Smith"]
+    df = spark.createDataFrame([(x,) for x in [*names, None]], "name string")
+    for batch in (7, 4096):
+        monkeypatch.setattr(mapping, "BATCH", batch)
+        assert {r["name"]: r["canonical"] for r in mapping.name_clusters(df, "name").collect()} == wanted
+    assert mapping.name_clusters(df.limit(0), "name").count() == 0
+
+
 def test_components_equal_union_find(spark):
     random.seed(5)
     for n, m in ((30, 20), (60, 80), (10, 0)):
