@@ -123,6 +123,16 @@ def test_html(spark):
     assert html_extract.html_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_runs_of_copies(spark):
+    page = lambda s: f"<body><div>Menu</div><div>{s}</div><div>Foot</div></body>"
+    one = [(i, f"http://a.com/x?v={i}", page("one")) for i in range(40)]  # a path, crawled often
+    far = [(100 + i, f"http://a.com/y/{i:02d}", page("far")) for i in range(40)]  # paths with the same lines
+    rest = [(200, "http://a.com/w", page("two")), (201, "http://a.com/x?v=a", page("other")), (300, "http://b.com/1", page("alone")), (301, "http://b.com/2", page("alone"))]
+    for rows in (one + rest[:1], one + far + rest):
+        got = {r["page_id"]: r["text"] for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: x.split("<div>")[2].split("<")[0] if i < 300 else "Menu\n\nalone\n\nFoot" for i, _, x in rows}
+
+
 def test_alignment_is_longest(monkeypatch):
     rng = random.Random(1)
     for bits in (1 << 28, 16):

@@ -1,8 +1,8 @@
 """Main text of web pages by differencing each page with its nearest page.
 
 A page becomes text lines (blocks) with the part of the page each stands in. Pages of a host are ordered by URL path; each
-is paired with the neighbour whose path shares the longest beginning and whose lines are not all the same. Lines of both are
-aligned by longest common subsequence, and shared lines are deleted: all that stand in no named part of the page, and, inside
+is paired with the nearest page, before or after it, whose lines are not all the same; of the two, with the one whose path
+shares the longer beginning. Pages of equal path and lines have one partner. Lines of both are aligned by longest common subsequence, and shared lines are deleted: all that stand in no named part of the page, and, inside
 an article, those that the other page holds in a menu, header, footer or the like unless they are paragraphs or headings.
 What stands in menus, headers, footers, sidebars, notices, adverts, forms and comments never counts as main text, nor, on
 pages with an article, what stands outside it.
@@ -14,14 +14,13 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import partitions, slices, written
+from .runtime import join_groups, partitions, slices, written
 
 # Elements by their role, and words in class, id and role that name parts other than the main text.
 RAW = "script style noscript template svg math textarea select iframe object canvas head title audio video"
@@ -235,15 +234,16 @@ def _to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, marks, parts, near_marks, near_parts) -> (key, gone), pages without deletions left out."""
+    """(pair, copies, marks, parts, near_marks, near_parts) -> (pair, copies, gone), pairs without deletions left out."""
     for batch in batches:
-        keys, out = [], []
-        for key, marks, parts, near_marks, near_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        pairs, counts, out = [], [], []
+        for pair, copies, marks, parts, near_marks, near_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if gone := deletions([x & 3 for x in parts], [bool(x >> 2) for x in parts], marks, (near_marks, [x & 3 for x in near_parts])):
-                keys.append(key)
+                pairs.append(pair)
+                counts.append(copies)
                 out.append(gone)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int32()))], ["key", "gone"])
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["pair", "copies", "gone"])
 
 
 def _to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +260,72 @@ def _to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def neighbours(marks: DataFrame) -> DataFrame:
-    """(key, near): the page each page is compared with; pages without one are left out.
-
-    Pages are sorted by host and path over all partitions and numbered; a page's neighbours are the numbers beside it, found
-    by equi-joins, so a host of any size is spread over many tasks. Of the two, the one with the longer common path wins
-    (the earlier on a tie), unless its lines are all the same.
-    """
-    spark = marks.sparkSession
+def places(marks: DataFrame) -> DataFrame:
+    """(key, host, path, same, content): same stands for a page's lines, content for lines and parts."""
     url = F.coalesce("url", F.lit(""))
     scheme = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
     host, path = F.lower(F.regexp_extract(url, scheme + r"([^/?#]*)", 1)), F.regexp_extract(url, scheme + r"[^/?#]*([^?#]*)", 1)
-    rows = marks.select("key", F.xxhash64("marks").alias("same"), host.alias("host"), path.alias("path"))
-    ordered = rows.repartitionByRange(partitions(spark), "host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("id", F.monotonically_increasing_id())
-    ordered = written(ordered, "page-order")
-    counts = sorted(ordered.groupBy(F.shiftright("id", 33).alias("p")).count().collect())  # one row a partition
-    before = dict(zip([r[0] for r in counts], accumulate([0, *(r[1] for r in counts)]), strict=False))
-    if not before:
-        return ordered.select("key", F.col("key").alias("near"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.shiftright("id", 33))
-    ordered = ordered.withColumn("n", offset + F.col("id").bitwiseAND((1 << 33) - 1)).drop("id")
-    beside = ordered.select("n", F.struct("host", "path", "key", "same").alias("x"))
-    both = ordered.join(beside.select((F.col("n") + 1).alias("n"), F.col("x").alias("before")), "n", "left").join(beside.select((F.col("n") - 1).alias("n"), F.col("x").alias("after")), "n", "left")
+    return marks.select("key", host.alias("host"), path.alias("path"), F.xxhash64("marks").alias("same"), F.xxhash64("marks", "parts").alias("content"))
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """(host, path, same, near) from rows with host, path, same and key: the page that pages of this path and these lines are
+    compared with; those without one are left out.
+
+    The rows, one for each (host, path, same), are sorted by host and path over all partitions. The candidates of a row are
+    the last row before and the first row after it with other lines on the same host, so a run of equal lines of any length is
+    passed over. Of the two, the one with the longer common path wins (the earlier on a tie). Only a few rows of each
+    partition reach the driver, which carries candidates over the partitions' ends.
+    """
+    spark = pages.sparkSession
+    ordered = pages.select("host", "path", "same", "key").repartitionByRange(partitions(spark), "host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("id", F.monotonically_increasing_id())
+    ordered = written(ordered.withColumn("p", F.shiftright("id", 33)), "page-order")
+    up, down = Window.partitionBy("p").orderBy("id"), Window.partitionBy("p").orderBy(F.desc("id"))
+    row = F.struct("host", "path", "key", "same")
+    differs = (F.col("prev.host") != F.col("host")) | (F.col("prev.same") != F.col("same"))
+    runs = ordered.withColumn("row", row).withColumn("prev", F.lag("row").over(up)).withColumn("starts", F.coalesce(differs, F.lit(False)))
+    runs = runs.withColumn("before", F.last(F.when(F.col("starts"), F.col("prev")), True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("after", F.last(F.when(F.col("starts"), F.col("row")), True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = written(runs.select("id", "p", "row", "before", "after"), "page-runs")
+    ends = sorted(runs.groupBy("p").agg(F.min_by("row", "id").alias("first"), F.max_by("row", "id").alias("last"), F.min_by("after", "id").alias("change"), F.max_by("before", "id").alias("before")).collect(), key=lambda r: r["p"])
+    alike = lambda x, y: x is not None and (x["host"], x["same"]) == (y["host"], y["same"])
+    befores, afters, last, before, first, after = {}, {}, None, None, None, None
+    for r in ends:
+        befores[r["p"]] = before if alike(last, r["first"]) else last
+        last, before = r["last"], r["before"] or befores[r["p"]]
+    for r in reversed(ends):
+        afters[r["p"]] = after if alike(first, r["last"]) else first
+        first, after = r["first"], r["change"] or afters[r["p"]]
+    kind = runs.schema["row"].dataType.simpleString()
+    carried = spark.createDataFrame([(p, befores[p], afters[p]) for p in befores], f"p long, carried_before {kind}, carried_after {kind}")  # one row a partition
+    both = runs.join(F.broadcast(carried), "p").select("row.*", F.coalesce("before", "carried_before").alias("before"), F.coalesce("after", "carried_after").alias("after"))
 
     def common(x: str) -> F.Column:
-        fits = (F.col(f"{x}.host") == F.col("host")) & (F.col(f"{x}.same") != F.col("same"))
         size = F.length("path") - F.length(F.regexp_extract(F.concat_ws("\x00", F.col("path"), F.col(f"{x}.path")), r"^(.*)([^\x00]*)\x00\1", 2))
-        return F.when(fits, size)
+        return F.when(F.col(f"{x}.host") == F.col("host"), size)
 
     before_, after_ = F.coalesce(common("before"), F.lit(-1)), F.coalesce(common("after"), F.lit(-1))
     near = F.when((before_ >= after_) & (before_ >= 0), F.col("before.key")).when(after_ >= 0, F.col("after.key"))
-    return both.select("key", near.alias("near")).where("near IS NOT NULL")
+    return both.select("host", "path", "same", near.alias("near")).where("near IS NOT NULL")
+
+
+def deleted(marks: DataFrame) -> DataFrame:
+    """(key, gone): the lines that go, of the pages where any do. marks: a written table of key, url, marks, parts.
+
+    One page of each path and lines is paired, its partner holds for all of them, and pages of equal lines, parts and partner
+    are aligned once, so groups of copies of any size cost one alignment and meet in no task.
+    """
+    pages = written(places(marks), "page-places")
+    place = lambda df: df.withColumn("place", F.xxhash64("host", "path", "same"))
+    groups = written(pages.groupBy("host", "path", "same").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "page-groups")
+    near = written(place(groups.drop("key").join(neighbours(groups), ["host", "path", "same"])).select("place", "near", "copies"), "page-near")
+    n = pages.count()
+    paired = written(join_groups(place(pages).select("key", "content", "place"), near, "place", "copies", n).select("key", F.xxhash64("content", "near").alias("pair"), "near"), "page-pairs")
+    pairs = paired.groupBy("pair").agg(F.min(F.struct("key", "near")).alias("x"), F.count("*").alias("copies")).select("pair", "copies", "x.*")
+    other = marks.select(F.col("key").alias("near"), F.col("marks").alias("near_marks"), F.col("parts").alias("near_parts"))
+    aligned = marks.join(pairs, "key").join(other, "near").select("pair", "copies", "marks", "parts", "near_marks", "near_parts")
+    gone = written(aligned.mapInArrow(_to_gone, "pair long, copies long, gone array<int>"), "pair-gone")
+    return join_groups(paired.select("key", "pair"), gone, "pair", "copies", n).select("key", "gone")
 
 
 #: Pages with deletions that are broadcast (a key and a few numbers each); more are joined by sort-merge.
@@ -301,7 +336,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text, n_chars (code points) of every row of pages.
 
     Blocks are joined by two line ends. A null or empty page, or one without main text, gives an empty text. A null url is a
-    host of its own. Rows that repeat a page have one neighbour and the same text; the only page of a host is not compared.
+    host of its own. Pages of equal path and lines have one partner; a page whose host has no other lines is not compared.
     An empty table gives no rows; other columns play no part.
 
     Pages are read twice: once for hashes of their lines, which are all that is paired and aligned, and once for their texts,
@@ -312,10 +347,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     keyed = source.withColumn("key", F.unhex(F.md5(text.cast("binary"))))
     marks = keyed.select("key", "url", "html").mapInArrow(_to_marks, "key binary, url string, marks array<long>, parts binary")
     marks = written(marks.dropDuplicates(["key"]), "page-marks")
-    near = neighbours(marks)
-    other = marks.select(F.col("key").alias("near"), F.col("marks").alias("near_marks"), F.col("parts").alias("near_parts"))
-    paired = marks.join(near, "key").join(other, "near").select("key", "marks", "parts", "near_marks", "near_parts")
-    gone = written(paired.mapInArrow(_to_gone, "key binary, gone array<int>"), "page-gone")
+    gone = written(deleted(marks), "page-gone")
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("merge")
     out = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
     return out.mapInArrow(_to_text, "page_id long, url string, text string, n_chars long")
