@@ -272,6 +272,17 @@ def test_bad_host_is_refused(spark):
     assert got[0] == (True, False) and got[1001] == (False, True) and got[2000] == (False, True)
 
 
+def test_every_rule_refuses_a_host(spark):
+    text = lambda i: " ".join(words(60, i))
+    fails = {"symbols": lambda i: text(i) + " " + "# $ % | " * 10, "dup_lines": lambda i: "\n".join([text(i), *["again"] * 7]), "word_length": lambda i: " ".join(x * 4 for x in words(60, i))}
+    rows = [(1000 * k + i, fail(i), "en", rule) for k, (rule, fail) in enumerate(fails.items()) for i in range(200)] + [(9000 + i, text(i), "en", f"h{i % 3}") for i in range(600)]
+    got = quality_rules.quality_rules(docs(spark, rows)).collect()
+    for r in got:
+        assert not r["base_failed"] and all(r[f"fail_{x}"] == (x == r["host"]) for x in quality_rules.RULES)
+        assert (r["host_refused"], r["kept"]) == ((True, False) if r["host"] in fails else (False, True)), r
+    assert len(got) == 1200
+
+
 # 8 language
 
 

@@ -92,7 +92,7 @@ def beta_prior(p: dict) -> tuple[float, float]:
 def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
     """One row per host: host, host_docs, shrunk failure rate by rule (rate_<rule>), host_refused.
 
-    host_refused: for a base rule, the posterior rate less CERTAINTY standard deviations exceeds HOST_CEILING. A host of
+    host_refused: for any rule, the posterior rate less CERTAINTY standard deviations exceeds HOST_CEILING. A host of
     few documents stays near the prior. The null host is a host. Only one row of sums for all hosts reaches the driver.
     """
     fails = [F.count_if(F.expr(c)).alias(f"f_{r}") for r, c in RULES.items()]
@@ -106,9 +106,8 @@ def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
         a, b = beta_prior({"n": n, "n2": sums["n2"] or 0.0, "hosts": sums["hosts"], "f": sums[r] or 0, "ss": ss[r] or 0.0})
         rate = (F.col(f"f_{r}") + a) / (F.col("host_docs") + a + b)
         out.append(rate.alias(f"rate_{r}"))
-        if r in BASE:
-            deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + a + b + 1))
-            refused = refused | (rate - CERTAINTY * deviation > HOST_CEILING)
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + a + b + 1))
+        refused = refused | (rate - CERTAINTY * deviation > HOST_CEILING)
     return hosts.select(*out, refused.alias("host_refused"))
 
 
