@@ -166,6 +166,24 @@ def test_fit_equals_numpy_raking(spark):
     assert all(abs(got[f"s{i}", f"l{j}", f"t{k}"] - m[i, j, k]) < 1e-3 * m[i, j, k] for i in range(5) for j in range(3) for k in range(4))
 
 
+def test_weights_hold_where_cells_are_full(spark):
+    rng = np.random.default_rng(5)
+    n = (10 ** rng.uniform(2, 5, (6, 3, 4))).astype(int)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", int(n[i, j, k])) for i in range(6) for j in range(3) for k in range(4)], "source string, lang string, topic string, tokens long")
+    for share in (0.3, 0.8):
+        fitted = mixing.fit_weights(cells, keep_share=share).collect()
+        p = [min(1.0, share * r["weight"]) for r in fitted]
+        assert share < 0.5 or max(p) == 1 > min(p)
+        kept = sum(r["tokens"] * x for r, x in zip(fitted, p, strict=True))
+        assert abs(kept / n.sum() - share) < 1e-3
+        for at, axes in (("source", (1, 2)), ("lang", (0, 2)), ("topic", (0, 1))):
+            held = {f"{at[0]}{i}": float(v) for i, v in enumerate(n.sum(axes))}
+            want = mixing.within(mixing.smoothed(held, 0.7), held, share * n.sum())
+            assert abs(sum(want.values()) / n.sum() - share) < 1e-9
+            for k, w in want.items():
+                assert abs(sum(r["tokens"] * x for r, x in zip(fitted, p, strict=True) if r[at] == k) - w) < 1e-3 * n.sum(), (share, k)
+
+
 def test_scale_meets_budget(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(1, 500), rng.random() * 5 + 0.01) for _ in range(200)]

@@ -50,13 +50,31 @@ def smoothed(totals: dict[str, float], alpha: float) -> dict[str, float]:
     return {k: v / sum(powers.values()) for k, v in powers.items()}
 
 
-def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, alpha: float = 0.7) -> DataFrame:
+def within(shares: dict[str, float], held: dict[str, float], budget: float) -> dict[str, float]:
+    """The budget in proportion to shares, but of each no more than is held; the others share what that leaves."""
+    full: dict[str, float] = {}
+    while len(full) < len(shares):
+        rest = sum(v for k, v in shares.items() if k not in full)
+        unit = max(budget - sum(full.values()), 0.0) / rest
+        over = {k: held[k] for k, v in shares.items() if k not in full and v * unit > held[k]}
+        if not over:
+            return full | {k: v * unit for k, v in shares.items() if k not in full}
+        full |= over
+    return full
+
+
+def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None, alpha: float = 0.7, keep_share: float | None = None) -> DataFrame:
     """(source, lang, topic, tokens, weight) of cells (source, lang, topic, tokens), weight being the factor by which a
     token of the cell counts.
 
     Targets: (source, share), and shares by language and topic; those not given are smoothed by alpha. Shares of what has no
     tokens are ignored, what has no share gets none, and shares are scaled to sum 1. Cells without tokens weigh 0. If the
     targets contradict one another, the last cycle's weights are returned.
+
+    With keep_share, a cell gives no more than all its tokens: tokens * min(1, keep_share * weight) are raked, to targets that
+    sum to keep_share of all tokens. A source, language or topic that has too little for its target gives all, and the others
+    share the rest. What cells at 1 can't give thus comes from others of the same source, language and topic. Factors take
+    Newton's step for the cells below 1, which never passes the target.
     """
     pairs = [(r["lang"], r["topic"], r["tokens"]) for r in cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").orderBy("lang", "topic").limit(MOST_PAIRS + 1).collect()]
     if len(pairs) > MOST_PAIRS:
@@ -64,12 +82,15 @@ def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_
     if not pairs:
         return cells.withColumn("weight", F.lit(0.0))
     total = float(sum(x[2] for x in pairs))
+    budget = total if keep_share is None else min(keep_share, 1.0) * total
 
     def targets(given: dict[str, float] | None, at: int) -> dict[str, float]:
         sums: dict[str, float] = {}
         for x in pairs:
             sums[x[at]] = sums.get(x[at], 0.0) + x[2]
         chosen = {k: v for k, v in given.items() if k in sums and v > 0} if given else smoothed(sums, alpha)
+        if keep_share is not None:
+            return within(chosen, sums, budget)
         return {k: total * v / sum(chosen.values()) for k, v in chosen.items()}
 
     want_lang, want_topic = targets(lang_targets, 0), targets(topic_targets, 1)
@@ -83,31 +104,65 @@ def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_
     shares = sources.agg(F.sum("share")).first()[0]
     if not shares:
         raise ValueError("no source has a target share")
-    want = F.col("share") * (total / shares)
+    unit, full = budget / shares, None
+    while keep_share is not None:  # as within(), for sources
+        over = F.col("share") * unit > F.col("tokens")
+        r = sources.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("share")))).first()
+        if r[0] == full or not r[2]:
+            break
+        full, unit = r[0], max(budget - r[1], 0.0) / r[2]
+    want = F.col("share") * unit
+    want = want if keep_share is None else F.least(want, F.col("tokens"))
+    sources = sources.withColumn("want", want)
     factor = [1.0] * len(pairs)
 
     def source_factor(factors: list[float]) -> Column:
         by_pair = F.array(*[F.lit(x) for x in factors])
         held = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * F.get(by_pair, c["p"]))
-        return F.when(held > 0, want / held).otherwise(0.0)
+        plain = F.when(held > 0, F.col("want") / held).otherwise(0.0)
+        if keep_share is None:
+            return plain
+
+        def step(f: Column) -> Column:
+            """Cells below 1 get what those at 1 leave; as many steps as there are cells end at the exact factor."""
+            w = lambda c: F.get(by_pair, c["p"])
+            whole = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(f * w(c) >= 1, c["n"]).otherwise(0.0))
+            rest = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(f * w(c) < 1, c["n"] * w(c)).otherwise(0.0))
+            return F.when(rest > 0, F.greatest(f, (F.col("want") - whole) / rest)).otherwise(f)
+
+        return F.aggregate(F.sequence(F.lit(1), F.size("cells")), plain, lambda f, _: step(f))
 
     for _ in range(CYCLES):
-        sums = dict(sources.select(F.explode("cells").alias("c"), source_factor(factor).alias("f")).groupBy("c.p").agg(F.sum(F.col("c.n") * F.col("f"))).collect())
-        mass = [sums.get(i, 0.0) * factor[i] for i in range(len(pairs))]
-        new = list(factor)
+        moved = sources.select(F.explode("cells").alias("c"), source_factor(factor).alias("f"))
+        by_pair = F.get(F.array(*[F.lit(x) for x in factor]), F.col("c.p"))
+        at_one = F.lit(keep_share is not None) & (F.col("f") * by_pair >= 1)
+        sums = {r[0]: (r[1], r[2]) for r in moved.groupBy("c.p").agg(F.sum(F.when(at_one, 0.0).otherwise(F.col("c.n") * F.col("f"))), F.sum(F.when(at_one, F.col("c.n")).otherwise(0.0))).collect()}
+        mass = [sums.get(i, (0.0, 0.0))[0] * factor[i] for i in range(len(pairs))]
+        whole = [sums.get(i, (0.0, 0.0))[1] for i in range(len(pairs))]
+        new, off = list(factor), 0.0
         for at, wanted in ((0, want_lang), (1, want_topic)):
             now: dict[str, float] = {}
-            for x, m in zip(pairs, mass, strict=True):
-                now[x[at]] = now.get(x[at], 0.0) + m
-            scale = [wanted.get(x[at], 0.0) / now[x[at]] if now[x[at]] > 0 else 0.0 for x in pairs]
-            mass, new = [m * s for m, s in zip(mass, scale, strict=True)], [f * s for f, s in zip(new, scale, strict=True)]
-        change = max(abs(a - b) / max(a, b) for a, b in zip(new, factor, strict=True)) if any(new) else 0.0
+            fixed: dict[str, float] = {}
+            for x, m, f in zip(pairs, mass, whole, strict=True):
+                now[x[at]], fixed[x[at]] = now.get(x[at], 0.0) + m, fixed.get(x[at], 0.0) + f
+            off = max(off, *(abs(now[k] + fixed[k] - wanted.get(k, 0.0)) for k in now))
+            scale = {}
+            for k in now:
+                left = wanted.get(k, 0.0) - fixed[k]
+                if left > 0 or not fixed[k]:
+                    scale[k] = left / now[k] if now[k] > 0 else 1.0 if fixed[k] else 0.0
+                else:  # the cells at 1 are too much already
+                    scale[k] = wanted.get(k, 0.0) / (now[k] + fixed[k])
+            mass, new = [m * scale[x[at]] for m, x in zip(mass, pairs, strict=True)], [f * scale[x[at]] for f, x in zip(new, pairs, strict=True)]
+        change = max(abs(a - b) / max(a, b) if max(a, b) > 0 else 0.0 for a, b in zip(new, factor, strict=True)) if any(new) else 0.0
+        if keep_share is not None and off <= TOLERANCE * budget:
+            break  # the factors that were measured hold
         factor = new
         if change < TOLERANCE:
             break
     fitted = sources.select("source", source_factor(factor).alias("f"))
     out = cells.join(fitted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    weight = F.when(F.col("tokens") > 0, F.coalesce(F.col("f") * F.get(F.array(*[F.lit(x) for x in factor]), number), F.lit(0.0))).otherwise(0.0)
+    weight = F.when(F.col("tokens") > 0, F.coalesce(F.col("f") * F.get(F.array(*[F.lit(x) for x in factor]), number), F.lit(0.0)) / (keep_share or 1.0)).otherwise(0.0)
     return out.withColumn("weight", weight).drop("f")
 
 
@@ -146,8 +201,8 @@ def mix(docs: DataFrame, keep_share: float = 0.5, id_col: str = "doc_id", text_c
     """Documents with their cell, calibrated probability and draw: doc_id, source, lang, topic, n_tokens, weight,
     probability, kept, text_md5.
 
-    keep_share: expected share of all tokens that is kept. Probabilities are min(1, k * weight), so as long as no cell
-    reaches 1 the expected tokens kept are in the target proportions exactly. A document is kept if the hash of its id and
+    keep_share: expected share of all tokens that is kept. Probabilities are min(1, k * weight), and weights are
+    fitted with that bound (see fit_weights), so the expected tokens kept are in the target proportions as far as tokens go. A document is kept if the hash of its id and
     the seed falls below its probability: repeated runs and repeated rows draw alike. Null texts have no tokens and, like
     all texts without, probability 0; null sources and languages are values of their own, shown as null; a null id draws as
     one document. An empty table gives no rows.
@@ -157,7 +212,7 @@ def mix(docs: DataFrame, keep_share: float = 0.5, id_col: str = "doc_id", text_c
     rows = written(rows.select("doc_id", "source", "lang", topic_of().alias("topic"), "n_tokens", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node")), "mix-rows")
     n = rows.count()
     cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("cell_docs")), "mix-cells")
-    fitted = written(fit_weights(cells, **targets).withColumn("cell", F.struct("source", "lang", "topic")), "mix-fitted")
+    fitted = written(fit_weights(cells, keep_share=keep_share, **targets).withColumn("cell", F.struct("source", "lang", "topic")), "mix-fitted")
     k = scale_for(fitted, keep_share * (fitted.agg(F.sum("tokens")).first()[0] or 0))
     fitted = fitted.select("cell", "cell_docs", "weight", F.least(F.lit(1.0), F.col("weight") * k).alias("probability"))
     out = join_groups(rows.withColumn("cell", F.struct("source", "lang", "topic")), fitted, "cell", "cell_docs", n)
