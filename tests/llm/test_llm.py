@@ -175,6 +175,8 @@ def test_weights_hold_where_cells_are_full(spark):
         p = [min(1.0, share * r["weight"]) for r in fitted]
         assert share < 0.5 or max(p) == 1 > min(p)
         kept = sum(r["tokens"] * x for r, x in zip(fitted, p, strict=True))
+        assert max(r["weight"] for r in fitted) <= 1 / share + 1e-9
+        assert abs(mixing.scale_for(spark.createDataFrame(fitted), share * int(n.sum())) - share) < 1e-3
         assert abs(kept / n.sum() - share) < 1e-3
         for at, axes in (("source", (1, 2)), ("lang", (0, 2)), ("topic", (0, 1))):
             held = {f"{at[0]}{i}": float(v) for i, v in enumerate(n.sum(axes))}

@@ -17,6 +17,8 @@ from .runtime import join_groups, written
 MOST_PAIRS = 2_000
 #: Cycles of the fit, and the change of any factor at which it ends.
 CYCLES, TOLERANCE = 50, 1e-7
+#: Step of a factor that only a source, language or topic with hardly a cell below 1 takes.
+MOST_STEP = 1_000.0
 #: Steps in the search of the scale of the probabilities.
 SCALE_STEPS, BINS = 3, 512
 
@@ -151,6 +153,8 @@ def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_
                 left = wanted.get(k, 0.0) - fixed[k]
                 if left > 0 or not fixed[k]:
                     scale[k] = left / now[k] if now[k] > 0 else 1.0 if fixed[k] else 0.0
+                    if fixed[k] and (scale[k] > MOST_STEP or left <= TOLERANCE * fixed[k]):  # all but full: factors stay finite
+                        scale[k] = min(scale[k], 2.0)
                 else:  # the cells at 1 are too much already
                     scale[k] = wanted.get(k, 0.0) / (now[k] + fixed[k])
             mass, new = [m * scale[x[at]] for m, x in zip(mass, pairs, strict=True)], [f * scale[x[at]] for f, x in zip(new, pairs, strict=True)]
@@ -163,6 +167,8 @@ def fit_weights(cells: DataFrame, source_targets: DataFrame | None = None, lang_
     fitted = sources.select("source", source_factor(factor).alias("f"))
     out = cells.join(fitted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     weight = F.when(F.col("tokens") > 0, F.coalesce(F.col("f") * F.get(F.array(*[F.lit(x) for x in factor]), number), F.lit(0.0)) / (keep_share or 1.0)).otherwise(0.0)
+    if keep_share:  # cells at 1 need no more; a bounded range keeps the search of the scale sharp
+        weight = F.least(weight, F.lit(1.0 / keep_share))
     return out.withColumn("weight", weight).drop("f")
 
 
