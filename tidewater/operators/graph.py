@@ -5,38 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import counted, forget
 
-#: A node with more edges than this has its minimum joined by broadcast (there are at most edges / HEAVY such nodes).
-HEAVY = 20_000
 
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs with m, the least of u and its neighbours; u with m). Nodes with many edges don't meet in one task."""
-    least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
-    limit = max(HEAVY, n // 10_000)
-    hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
-    cold = least.where(F.col("n") <= limit).select("u", "m")
-    return pairs.join(hot, "u").unionByName(pairs.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold, "u")), least
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Large star, then small star. Minima are combined before they are shuffled; the joins back are plain sort-merge joins of
+    narrow rows, so Spark's skew join splits a node with very many edges."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = _clean(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")))
+    down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    return _clean(down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))))
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, label) of every node of the edges (a, b long): label is the least node of its component.
 
-    Self-links and repeated edges are allowed; an empty table gives no rows. Ends when a round changes nothing.
+    Self-links and repeated edges are allowed; an empty table gives no rows. A round is written once, with a digest of its
+    edges; it ends when a round changes nothing, and raises if that takes more than most_rounds.
     """
-    clean = lambda e: e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sign = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-    now = written(clean(edges), "edges")
-    before = sign(now)
-    for _ in range(most_rounds):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        pairs, _ = _with_least(both, 2 * before[0])
-        now = written(clean(pairs.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))), "large-star")
-        pairs, least = _with_least(now.select(F.col("b").alias("u"), F.col("a").alias("v")), now.count())
-        now = written(clean(pairs.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))), "small-star")
-        after = sign(now)
+    digest = {"digest": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, before = counted(_clean(edges), "edges", **digest)
+    for _ in range(most_rounds if before["n"] else 0):
+        new, after = counted(_round(now), "stars", **digest)
+        forget(now)
+        now = new
         if after == before:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+            break
         before = after
-    raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+    else:
+        if before["n"]:
+            raise RuntimeError(f"components are not complete after {most_rounds} rounds")
+    return now.select(F.col("b").alias("node"), F.col("a").alias("label")).union(now.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, label) of all links so far: `labels` were made of earlier ones. Only links between different components
+    are looked at, as links of components, so what is done isn't done again."""
+    if labels is None:
+        return counted(components(links), "labels")[0]
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    roots = components(met.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return counted(nodes.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")[0]

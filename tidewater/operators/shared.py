@@ -6,25 +6,51 @@ import tempfile
 import uuid
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a local folder only where that is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a folder of its own;
+    a cluster raises, as no executor would see another's local files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, safe from lost executors, with short lineage."""
-    path = f"{shared_dir(df.sparkSession)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: computed once, safe from lost executors, with short lineage, fixed ids and order of
+    files. `forget` removes it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """written(), and its row count `n` and other measures, taken while it is written: no further job."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in measures.items()]), name)
+    return out, {"n": 0} | {k: v for k, v in (seen.get or {}).items() if k != "n" or v}
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes the files of written frames that nothing reads any more. Others are left alone."""
+    for df in frames:
+        if path := getattr(df, "written_to", None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
 
 
 def strings(df: DataFrame) -> list[str]:
@@ -61,12 +87,14 @@ def numbered(df: DataFrame, order: list[str], name: str = "_rid") -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *[q(c) for c in order]).sortWithinPartitions(*[q(c) for c in order]).withColumn(name, F.monotonically_increasing_id())
     placed = written(placed, "numbered")
-    counts = sorted(placed.groupBy(F.shiftright(name, 33).alias("p")).count().collect())
+    part = F.shiftright(name, 33)
+    counts = sorted(placed.groupBy(part.alias("p")).count().collect())
     if not counts:
         return placed
-    before = dict(zip([r[0] for r in counts], accumulate([0, *(r[1] for r in counts)]), strict=False))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.shiftright(name, 33))
-    return placed.withColumn(name, offset + F.col(name).bitwiseAND((1 << 33) - 1))
+    before = zip([r[0] for r in counts], accumulate([0, *(r[1] for r in counts)]), strict=False)
+    offsets = spark.createDataFrame(list(before), "_number_part long, _number_from long")  # one row a partition
+    out = placed.join(F.broadcast(offsets), part == F.col("_number_part"))
+    return out.select(*[q(c) for c in placed.columns if c != name], (F.col("_number_from") + F.col(name).bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 def carried(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
@@ -83,22 +111,23 @@ def carried(df: DataFrame, columns: list[str], order: list[str], by: list[str] |
     else:
         size = max(1, -(-place.count() // max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
         base, keys = place.withColumn("_part", F.floor(F.col("_rid") / size)), ["_part"]
+    # both frames begin unbounded, so each is one pass over its rows
     before = Window.partitionBy(*keys).orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("_rid").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_rid")).rowsBetween(Window.unboundedPreceding, 0)
     known = {c: F.when(q(c).isNotNull(), F.struct(q(c).alias("v"), F.col("_rid").alias("at"))) for c in columns}
-    out = base.select("*", *[x for c in columns for x in (F.last(known[c], True).over(before).alias(f"{c}_p"), F.first(known[c], True).over(after).alias(f"{c}_n"))])
+    out = base.select("*", *[x for c in columns for x in (F.last(known[c], True).over(before).alias(f"{c}_p"), F.last(known[c], True).over(after).alias(f"{c}_n"))])
     if not by:
         ends = base.groupBy("_part").agg(*[x for c in columns for x in (F.max_by(known[c], F.when(q(c).isNotNull(), F.col("_rid"))).alias(f"{c}_l"), F.min_by(known[c], F.when(q(c).isNotNull(), F.col("_rid"))).alias(f"{c}_f"))])
         rows = sorted(ends.collect(), key=lambda r: r["_part"])
-        carry: list[tuple] = []
-        for i, r in enumerate(rows):
-            values = [r["_part"]]
-            for c in columns:
-                values.append(next((x[f"{c}_l"] for x in reversed(rows[:i]) if x[f"{c}_l"] is not None), None))
-                values.append(next((x[f"{c}_f"] for x in rows[i + 1 :] if x[f"{c}_f"] is not None), None))
-            carry.append(tuple(values))
+        carry = {r["_part"]: {} for r in rows}
+        for c in columns:
+            for ordered, end, to in ((rows, "l", "cp"), (rows[::-1], "f", "cn")):
+                held = None
+                for r in ordered:
+                    carry[r["_part"]][f"{c}_{to}"] = held
+                    held = r[f"{c}_{end}"] or held
         kinds = T.StructType([T.StructField("_part", T.LongType()), *[T.StructField(f"{c}_{k}", ends.schema[f"{c}_l"].dataType) for c in columns for k in ("cp", "cn")]])
-        carried_ = spark.createDataFrame(carry, kinds)  # one row a range
+        carried_ = spark.createDataFrame([(p, *(x[f.name] for f in kinds.fields[1:])) for p, x in carry.items()], kinds)  # one row a range
         out = out.join(F.broadcast(carried_), "_part", "left").drop("_part")
         for c in columns:
             out = out.withColumn(f"{c}_p", F.coalesce(f"{c}_p", f"{c}_cp")).withColumn(f"{c}_n", F.coalesce(f"{c}_n", f"{c}_cn")).drop(f"{c}_cp", f"{c}_cn")
