@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import counted, forget, scratch_path, shared_dir, written
+
+__all__ = ["counted", "forget", "join_groups", "let", "partitions", "scratch_path", "shared_dir", "slices", "table", "written"]
+
 #: No more groups than this are ever broadcast by `join_groups`.
 HEAVY_GROUPS = 10_000
 #: A group with fewer rows than this is never treated as heavy.
 HEAVY_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, fixes ids and order of files."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,15 +30,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, n_groups: int | None = None) -> DataFrame:
     """Inner join of rows with one row per key, safe for keys that hold a large part of the rows.
 
     groups[size] is the number of rows of the key. Keys above max(HEAVY_ROWS, n_rows / HEAVY_GROUPS) rows are joined by
     broadcast; as the sizes sum to n_rows there are at most HEAVY_GROUPS of them. All others go through a sort-merge join,
     where no task gets more than that many rows of one key. If there are no more than HEAVY_GROUPS keys at all, they are
-    broadcast. Null keys match each other. groups should be a written table, as it is counted; rows of it must be narrow.
+    broadcast. Null keys match each other. n_groups: rows of groups, counted if not given; groups should then be a written
+    table. Its rows must be narrow.
     """
-    if groups.count() <= HEAVY_GROUPS:
+    if (groups.count() if n_groups is None else n_groups) <= HEAVY_GROUPS:
         small = groups.withColumnRenamed(key, "_key")
         return rows.join(F.broadcast(small), rows[key].eqNullSafe(small["_key"]), "inner").drop("_key")
     limit = max(HEAVY_ROWS, n_rows // HEAVY_GROUPS)
