@@ -14,13 +14,13 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def _round(edges: DataFrame) -> DataFrame:
     """Large star, then small star. Minima are combined before they are shuffled; the joins back are plain sort-merge joins of
-    narrow rows, so Spark's skew join splits a node with very many edges."""
+    narrow rows, so Spark's skew join splits a node with very many edges, and no round leaves broadcasts on the driver."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = _clean(both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")))
+    large = _clean(both.join(least.hint("merge"), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")))
     down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return _clean(down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))))
+    return _clean(down.join(least.hint("merge"), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))))
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -50,8 +50,8 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return counted(components(links), "labels")[0]
     of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = links.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left")
     roots = components(met.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
-    nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    nodes = labels.union(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("label")))
     roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return counted(nodes.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")[0]
+    return counted(nodes.join(roots.hint("merge"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")[0]
