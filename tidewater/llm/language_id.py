@@ -208,6 +208,12 @@ def language_id(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from judged(batches)
+        finally:
+            _built.clear()  # workers outlive the task, and other operators want the memory
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             for a, b in slices(texts, 1_000_000):
