@@ -133,6 +133,76 @@ def test_html_runs_of_copies(spark):
         assert got == {i: x.split("<div>")[2].split("<")[0] if i < 300 else "Menu\n\nalone\n\nFoot" for i, _, x in rows}
 
 
+def main(page):
+    lines, parts, _ = html_extract.lines_of(page)
+    return html_extract.main_text(lines, parts)
+
+
+def test_html_markup_that_decides():
+    assert main("<article><section id='discussion'><p>Our results show.</p></section><div class='search-results'>Hits</div><p class='related-work'>Others</p><label>Fig. 1</label></article>") == "Our results show.\n\nHits\n\nOthers\n\nFig. 1"
+    assert main("<main><article><p>Text</p><article><p>nested</p></article></article><article class='comment'><p>user</p></article></main>") == "Text"
+    assert main("<body><article><p>A</p><div class='ad x'>buy</div><div data-class='ad'>kept</div><div hidden>no</div><div role='search'>no</div><p>B</p></article><div>out</div>") == "A\n\nkept\n\nB"
+    assert main("<p>" + "long &amp; " * 50_000 + "</p><form>f</form>").count("long &") == 50_000
+
+
+def test_alignment_decides_inside_articles(spark):
+    page = lambda s, more="": f"<article><h1>{s} head</h1><div class='tools'>Print this page</div><p>{s} text</p><p>quoted passage</p>{more}<div class='body'>{s} end</div></article>"
+    rows = [(i, f"http://a.com/{i}", page(f"story{i}")) for i in range(6)]
+    rows += [(20, "http://b.com/1", page("one")), (21, "http://b.com/2", page("one", "<p>added</p>"))]  # copies of one article
+    got = {r["page_id"]: r["text"] for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story{i} head\n\nstory{i} text\n\nquoted passage\n\nstory{i} end" for i in range(6)), got[0]
+    assert got[20] == "one head\n\nPrint this page\n\none text\n\nquoted passage\n\none end"
+
+
+def brute_html(rows):
+    """Texts by pairing and alignment written plainly."""
+    found = {}
+    for i, url, page in rows:
+        key = hashlib.md5("\x00".join([str(i), url, page]).encode()).digest()
+        found[key] = (url.split("/")[2], "/" + url.split("/", 3)[3].split("?")[0], *html_extract.lines_of(page))
+    groups = {}
+    for key, (host, path, lines, *_) in found.items():
+        groups.setdefault((host, path, tuple(lines)), []).append(key)
+    order = sorted((host, path, min(keys), lines) for (host, path, lines), keys in groups.items())
+    common = lambda x, y: len(__import__("os").path.commonprefix([x, y]))
+    out = {}
+    for at, (host, path, _, lines) in enumerate(order):
+        others = [next((x for x in side if x[0] != host or x[3] != lines), None) for side in (order[:at][::-1], order[at + 1 :])]
+        others = [x for x in others if x and x[0] == host]
+        partner = max(others, key=lambda x: common(x[1], path)) if others else None
+        for key in groups[host, path, lines]:
+            _, _, texts, parts, kinds = found[key]
+            gone = set()
+            if partner:
+                other = found[partner[2]]
+                t = [[0] * (len(other[2]) + 1) for _ in range(len(texts) + 1)]
+                for i in range(len(texts)):
+                    for j in range(len(other[2])):
+                        t[i + 1][j + 1] = t[i][j] + 1 if texts[i] == other[2][j] else max(t[i][j + 1], t[i + 1][j])
+                i, j = len(texts), len(other[2])
+                while i and j:
+                    if texts[i - 1] == other[2][j - 1] and t[i][j] == t[i - 1][j - 1] + 1:
+                        i, j = i - 1, j - 1
+                        gone |= {i} if parts[i] == html_extract.PLAIN else set()
+                    elif t[i - 1][j] >= t[i][j - 1]:
+                        i -= 1
+                    else:
+                        j -= 1
+            out[key] = "\n\n".join(x for i, x in enumerate(texts) if parts[i] == html_extract.PLAIN and i not in gone)
+    return out
+
+
+def test_html_equals_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for i in range(150):
+        host = rng.choice(["a.com", "b.org", "c.net"])
+        blocks = [f"menu {host} {k}" for k in range(4)] + [f"text {rng.randrange(40)}" for _ in range(rng.randrange(1, 4))] + [f"foot {host}"]
+        rows.append((i, f"http://{host}/{rng.choice(['x', 'xy', 'z'])}/{rng.randrange(12)}?q={i}", "<body>" + "".join(f"<div>{x}</div>" for x in dict.fromkeys(blocks))))
+    got = {hashlib.md5("\x00".join([str(i), u, h]).encode()).digest(): t for (i, u, h), t in zip(rows, [r["text"] for r in sorted(html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])], strict=True)}
+    want = brute_html(rows)
+    assert got == want and sum("menu" in x for x in want.values()) < 10
+
+
 def test_alignment_is_longest(monkeypatch):
     rng = random.Random(1)
     for bits in (1 << 28, 16):

@@ -2,10 +2,15 @@
 
 A page becomes text lines (blocks) with the part of the page each stands in. Pages of a host are ordered by URL path; each
 is paired with the nearest page, before or after it, whose lines are not all the same; of the two, with the one whose path
-shares the longer beginning. Pages of equal path and lines have one partner. Lines of both are aligned by longest common subsequence, and shared lines are deleted: all that stand in no named part of the page, and, inside
-an article, those that the other page holds in a menu, header, footer or the like unless they are paragraphs or headings.
-What stands in menus, headers, footers, sidebars, notices, adverts, forms and comments never counts as main text, nor, on
-pages with an article, what stands outside it.
+shares the longer beginning. Pages of equal path and lines have one partner. Lines of both are aligned by longest common
+subsequence, and shared lines are deleted: all of a page without an article; of an article those that stand in the same kind
+of element on both pages (or in a menu or the like on the other), unless they are paragraphs or headings, which quotations
+are, too. Where most lines of two articles are shared, the pages are copies of one article, and what they share isn't their
+template.
+
+Beyond that, only what the markup says plainly decides: elements that hold navigation, forms or code, landmark roles, hidden
+elements, whole class names of adverts, comments and the like, and articles inside articles, which are comments. Parts of
+class names decide nothing. On pages with an article, what stands outside it is no main text.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +30,7 @@ from .runtime import join_groups, partitions, slices, written
 
 # Elements by their role, and words in class, id and role that name parts other than the main text.
 RAW = "script style noscript template svg math textarea select iframe object canvas head title audio video"
-BOILER = "nav footer aside form button menu dialog label input fieldset"
+BOILER = "nav footer aside form button menu dialog input"
 BLOCKS = (
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
@@ -32,16 +38,14 @@ BLOCKS = (
 PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 blockquote pre"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 NAMES = (
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner sidebar side-bar rail widget menu nav navbar navigation breadcrumb "
-    "breadcrumbs header masthead footer comment comments reply replies respond discussion disqus notice notices cookie cookies consent gdpr alert popup modal "
-    "overlay newsletter subscribe signup login search share sharing social related recommended pagination pager toolbar skip"
+    "ad ads advert adverts advertisement adsense sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer "
+    "comment comments disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe share sharing pagination pager toolbar"
 )
 ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar"
 
 _RAW, _BOILER, _BLOCKS, _PARAGRAPHS, _VOID, _NAMES, _ROLES = (frozenset(x.split()) for x in (RAW, BOILER, BLOCKS, PARAGRAPHS, VOID, NAMES, ROLES))
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
-_attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_word = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
+_attribute = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 #: Parts of a page: outside all others, inside an article, inside menus and so on.
 PLAIN, CORE, EDGE = 0, 1, 2
@@ -50,31 +54,37 @@ ALIGN_BITS = 1 << 28
 
 
 def _named(attributes: str) -> bool:
-    """Do class, id or role name a part other than the main text?"""
+    """Is the element hidden, or do its role or a whole name of its class, id or property name a part other than the main text?"""
     for m in _attribute.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        words = _word.findall(value)
-        if key == "role" and not _ROLES.isdisjoint(words) or key in ("class", "id") and any(w in _NAMES or not _NAMES.isdisjoint(w.split("-")) for w in words):
+        if not (_ROLES if key == "role" else _NAMES).isdisjoint(value.split()) and key != "aria-hidden":
             return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Blocks of a page: text, part, and whether it is a paragraph or heading. White space is one space; empty blocks go."""
+def _kind(name: str, attributes: str) -> int:
+    """1 .. 255: stands for an element with its class."""
+    of = [m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes) if m[1].lower() == "class"] if attributes else []
+    return zlib.crc32(f"{name} {of}".encode("utf-8", "surrogatepass")) % 255 + 1
+
+
+def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
+    """Blocks of a page: text, part, and kind (0: a paragraph or heading, else see _kind). White space is one space; empty
+    blocks go."""
     texts: list[str] = []
     parts: list[int] = []
-    paragraphs: list[bool] = []
-    stack: list[tuple[str, int, list[str] | None, bool]] = []
-    part, paragraph, pieces, at, end = PLAIN, False, [], 0, len(page)
+    kinds: list[int] = []
+    stack: list[tuple[str, int, list[str] | None, int, int]] = []
+    part, kind, pieces, at, end = PLAIN, 1, [], 0, len(page)
 
     def close() -> None:
         if pieces:
             if text := " ".join(html.unescape("".join(pieces)).split()):
                 texts.append(text)
                 parts.append(part)
-                paragraphs.append(paragraph)
+                kinds.append(kind)
             pieces.clear()
 
     while at < end:
@@ -91,12 +101,12 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if m[1]:
             if name in _BLOCKS:
                 close()
-                paragraph = False
+                kind = stack[-1][4] if stack and not kind else kind
             if name not in _PARAGRAPHS and any(x[0] == name for x in stack):
                 if name in _BLOCKS or any(x[0] == name and x[2] is not None for x in stack):
                     close()
                 while stack:
-                    top, part, outer, paragraph = stack.pop()
+                    top, part, outer, kind, _ = stack.pop()
                     if outer is not None:  # what an advert or the like interrupted goes on
                         pieces += outer
                     if top == name:
@@ -104,9 +114,10 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                     if outer is not None:
                         close()
             continue
+        above = kind
         if name in _BLOCKS:
             close()
-            paragraph = name in _PARAGRAPHS
+            kind = 0 if name in _PARAGRAPHS else _kind(name, m[3])
         elif name == "br":
             pieces.append(" ")
         if name in _RAW and not m[3].endswith("/"):
@@ -117,7 +128,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             continue
         now = part
         if part != EDGE:
-            if name in _BOILER or name == "header" and part != CORE or name not in ("body", "html", "article", "main") and m[3] and _named(m[3]):
+            nested = name == "article" and any(x[0] == "article" for x in stack)
+            if name in _BOILER or nested or name == "header" and part != CORE or name not in ("body", "html", "main") and m[3] and _named(m[3]):
                 now = EDGE
             elif name in ("article", "main") or m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I):
                 now = CORE
@@ -133,15 +145,15 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 for x in lines_of(page[at : over.start()])[0]:
                     texts.append(x)
                     parts.append(now)
-                    paragraphs.append(True)
+                    kinds.append(0)
                 at = over.end()
             continue
         if now == part and name not in _BLOCKS:
             continue
-        stack.append((name, part, outer, paragraph))
+        stack.append((name, part, outer, above, kind))
         part = now
     close()
-    return texts, parts, paragraphs
+    return texts, parts, kinds
 
 
 def _bits(a: list[int], b: list[int]) -> list[int]:
@@ -204,11 +216,15 @@ def _last(a: list[int], b: list[int]) -> int:
     return row
 
 
-def deletions(parts: list[int], paragraphs: list[bool], marks: list[int], other: tuple[list[int], list[int]]) -> list[int]:
-    """Numbers of the lines of a page that go because the other page (marks and parts of its lines) has them too, and that
-    would be main text otherwise."""
+def deletions(parts: list[int], kinds: list[int], marks: list[int], other: tuple[list[int], list[int], list[int]]) -> list[int]:
+    """Numbers of the lines of a page that go because the other page (marks, parts and kinds of its lines) has them too, and
+    that would be main text otherwise."""
     kept = CORE if CORE in parts else PLAIN
-    return [i for i, j in shared_lines(marks, other[0]) if parts[i] == kept and (kept == PLAIN or other[1][j] == EDGE and not paragraphs[i])]
+    both = [(i, j) for i, j in shared_lines(marks, other[0]) if parts[i] == kept]
+    if kept == PLAIN:
+        return [i for i, _ in both]
+    copies = 2 * sum(other[1][j] == CORE for _, j in both) > parts.count(CORE)
+    return [i for i, j in both if kinds[i] and (other[1][j] == EDGE or not copies and kinds[i] == other[2][j])]
 
 
 def main_text(lines: list[str], parts: list[int], gone: set[int] | list[int] = ()) -> str:
@@ -222,12 +238,12 @@ def _mark(line: str) -> int:
 
 
 def _to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, html) -> (key, url, marks, parts); a byte of parts holds the part and the paragraph flag of a line."""
+    """(key, url, html) -> (key, url, marks, parts); parts holds two bytes a line, its part and kind."""
     for batch in batches:
         pages = [x or "" for x in batch.column(2).to_pylist()]
         for a, b in slices(pages):
             found = [lines_of(x) for x in pages[a:b]]
-            parts = [bytes(p | q << 2 for p, q in zip(ps, qs, strict=True)) for _, ps, qs in found]
+            parts = [bytes(x for both in zip(ps, ks, strict=True) for x in both) for _, ps, ks in found]
             marks = [[_mark(x) for x in xs] for xs, _, _ in found]
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array(parts, pa.binary())], ["key", "url", "marks", "parts"])
@@ -238,7 +254,7 @@ def _to_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs, counts, out = [], [], []
         for pair, copies, marks, parts, near_marks, near_parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if gone := deletions([x & 3 for x in parts], [bool(x >> 2) for x in parts], marks, (near_marks, [x & 3 for x in near_parts])):
+            if gone := deletions(list(parts[0::2]), list(parts[1::2]), marks, (near_marks, list(near_parts[0::2]), list(near_parts[1::2]))):
                 pairs.append(pair)
                 counts.append(copies)
                 out.append(gone)
@@ -336,8 +352,9 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text, n_chars (code points) of every row of pages.
 
     Blocks are joined by two line ends. A null or empty page, or one without main text, gives an empty text. A null url is a
-    host of its own. Pages of equal path and lines have one partner; a page whose host has no other lines is not compared.
-    An empty table gives no rows; other columns play no part.
+    host of its own. Pages of equal path and lines have one partner; a page whose host has no other lines is not compared;
+    of partners that share as much of the path, the earlier wins. Very long pages are read whole, and aligned in halves where
+    a table would not fit. Repeated rows give repeated rows. An empty table gives no rows; other columns play no part.
 
     Pages are read twice: once for hashes of their lines, which are all that is paired and aligned, and once for their texts,
     so pages themselves are neither written nor shuffled (unless very many have deletions).
