@@ -60,8 +60,12 @@ def test_digest_index_persists(spark):
     exact_dedup.exact_dedup(docs(spark, [(9, "a", "en", "s"), (3, "b", "en", "s")]), first).collect()
     first.close()
     again = exact_dedup.DigestIndex(spark, path, 4)
+    batch = docs(spark, [(9, "a", "en", "s"), (3, "b", "en", "s")])
+    assert all(r["kept"] for r in exact_dedup.exact_dedup(batch, again).collect())  # the same batch, run again
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(docs(spark, [(1, "a", "en", "s"), (2, "c", "en", "s"), (4, "c", "en", "s")]), again).collect()}
     assert got == {1: (9, False), 2: (4, False), 4: (4, True)} and again.read().count() == 3
+    one = again.compacted(scratch_path(spark, "index"))
+    assert {r["kept"] for r in exact_dedup.exact_dedup(batch, one, "next").collect()} == {False} and one.read().count() == 3
 
 
 # 2 near-dedup
@@ -96,6 +100,24 @@ def test_near_dedup_equals_brute_force(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == set(label.values())
 
 
+def test_near_dedup_recall(spark):
+    """Links of all pairs of sf0.01's documents, by brute force over shingles."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    idf, texts = near_dedup.idf_table(df), {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    first: dict[str, int] = {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    sets = {i: near_dedup.weighted_shingles(t, idf) for t, i in first.items()}
+    holders: dict[int, list[int]] = {}
+    for i, (shingles, _) in sets.items():
+        for x in shingles.tolist():
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    links = [(a, b) for a, b in pairs if near_dedup.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(df).collect()}
+    assert len(links) > 3 and sum(of[a] == of[b] for a, b in links) >= 0.95 * len(links)
+
+
 def test_near_dedup_odd(spark):
     got = near_dedup.near_dedup(odd(spark)).collect()
     assert len(got) == 9 and sum(r["kept"] for r in got) == 6
@@ -315,9 +337,51 @@ def test_write_matrix(spark, tmp_path):
     assert np.frombuffer(r["ids"], "<i4").tolist()[r["n_tokens"] :] == [7] * (8 - r["n_tokens"])
 
 
+def test_packing_odd(spark):
+    path = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
+    rows = packing.pack(extra(odd(spark)), path, length=64).collect()
+    parts = [(d, p) for r in rows for d, p in zip(r["doc_ids"], r["pieces"], strict=True)]
+    assert parts.count((5, 0)) == 2 and parts.count((None, 0)) == 1 and not any(d in (1, 2) for d, _ in parts)
+    assert sum(1 for d, _ in parts if d == 7) > 400 and packing.pack(odd(spark).limit(0), path).count() == 0
+    same = [(None, f"text number {i} " * 30, "en", "s") for i in range(60)]
+    assert len({r["shard"] for r in packing.pack(docs(spark, same), path, 64, shard_chars=2_000).collect()}) > 5
+
+
 # 6 quality model
 
 
+def test_posteriors_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, f"h{rng.randrange(5)}", rng.choice(["p", "q", None]), rng.gauss(0, 2)) for i in range(400)]
+    got = {r["doc_id"]: r for r in quality_model.hierarchical(spark.createDataFrame(rows, "doc_id long, host string, path string, logit double"), 0.4).collect()}
+    p = {i: 1 / (1 + math.exp(-x)) for i, _, _, x in rows}
+    mean = (sum(p.values()) + 0.4) / (len(rows) + 1)
+
+    def strength(sites):  # (documents, mean, mean above)
+        n, k = sum(x[0] for x in sites), len(sites)
+        chance = [g * (1 - g) for _, _, g in sites]
+        between = (sum(m * (r - g) ** 2 for m, r, g in sites) - sum(chance) * (k - 1) / k) / (n - sum(x[0] ** 2 for x in sites) / n)
+        return min(max(sum(chance) / k / between - 1, 2.0), 1000.0) if between > 0 else 1000.0
+
+    groups = lambda key: {k: [p[r[0]] for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, sites = groups(lambda r: r[1]), groups(lambda r: r[1:3])
+    k = strength([(len(v), sum(v) / len(v), mean) for v in hosts.values()])
+    host_rate = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    m = strength([(len(v), sum(v) / len(v), host_rate[s[0]]) for s, v in sites.items()])
+    for i, h, path, x in rows:
+        v = sites[h, path]
+        rate = (sum(v) - p[i] + m * host_rate[h]) / (len(v) - 1 + m)
+        score = 1 / (1 + math.exp(-(x - math.log(0.4 / 0.6) + math.log(rate / (1 - rate)))))
+        assert abs(got[i]["host_rate"] - host_rate[h]) < 1e-9 and abs(got[i]["path_rate"] - rate) < 1e-9 and abs(got[i]["score"] - score) < 1e-9
+
+
+def test_quality_odd_columns_and_held_out(spark):
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train, rest = labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 != 1"), labels.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 3 = 1")
+    got = quality_model.quality_model(df.withColumn("h", F.lit(1)).withColumn("y", F.lit(2)).withColumn("id", F.lit(3)), train).join(rest, "doc_id")
+    assert got.select(F.avg((F.col("kept") == (F.col("quality") > 0)).cast("int"))).first()[0] > 0.85
+
+
 def test_quality_model(spark):
     good = [(i, " ".join(f"word{j % 50 + i}" for j in range(120)) + ".", "en", f"s{i % 3}") for i in range(60)]
     bad = [(100 + i, "BUY!! $$$ NOW!! " * 40, "en", f"s{i % 3}") for i in range(30)]

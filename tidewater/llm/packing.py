@@ -115,8 +115,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
     cu_seqlens (0 and each segment's end), ids and position_ids (int32, little endian, n_tokens each).
 
     path: a file of ranks of a byte-level BPE; its special tokens' strings are ordinary text here. A text of more than `length` ids is cut into pieces numbered from 0; put together in order they are the text's ids. Null
-    and empty texts have no ids and no segment. Repeated rows are packed each. A null id is packed as such. Shards follow
-    from ids, pieces and the characters of all texts alone, rows of a shard from its pieces, so results don't depend on
+    and empty texts have no ids and no segment. Repeated rows are packed each. A null id is packed as such. Very long texts are
+    encoded whole. Other columns play no part. Ties of room go to any row with it. Shards follow from ids, pieces and the characters of all texts alone, rows of a shard from its pieces, so results don't depend on
     how the input is split. An empty table gives no rows.
     """
     shared = share(docs, path)
@@ -147,8 +147,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
             yield from _shard(now, held, length)
 
     pieces = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, "doc_id long, piece int, n int, ids binary")
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).alias("shard")
-    dealt = pieces.select(shard, "doc_id", "piece", "n", "ids").repartition(max(shards, partitions(docs.sparkSession)), "shard")
+    # the ids count, too: rows that share a null or repeated doc_id don't share a shard
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).alias("shard")
+    dealt = pieces.select(shard, "doc_id", "piece", "n", "ids").repartition(partitions(docs.sparkSession), "shard")  # a task packs its shards one by one
     return dealt.sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece", "ids").mapInArrow(packed, _PACKED)
 
 

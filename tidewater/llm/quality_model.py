@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .runtime import join_groups, slices, written
 
-#: Labelled documents that the classifier is fitted to, those with the lowest hashes, and characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 4_000, 20_000
+#: Labelled documents that the classifier is fitted to, those with the lowest hashes, by their whole texts.
+TRAIN_DOCS = 4_000
 #: Score from which a document is kept.
 KEEP = 0.5
 
@@ -84,18 +84,19 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Mo
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits the classifier to at most TRAIN_DOCS labelled documents (a bounded sample; null labels and texts are left out).
 
-    Only the sample's ids and labels are joined with texts.
+    Only the sample's ids and labels are joined with texts; texts are measured where they are read.
     """
     order = F.xxhash64(id_col)
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("y"), order.alias("h")).orderBy("h", id_col).limit(TRAIN_DOCS)
-    # at most TRAIN_DOCS rows are broadcast
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(F.col(id_col), "h", F.substring(text_col, 1, TRAIN_CHARS).alias("text"), "y").orderBy("h", id_col, "text").limit(TRAIN_DOCS)
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"), order.alias("h")).orderBy("h", "id").limit(TRAIN_DOCS)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([features(t) for t in batch.column(3).to_pylist()], pa.list_(pa.float64()))], ["h", "id", "y", "x"])
 
-    found = rows.select("y", "text").mapInArrow(run, "y double, x array<double>").collect()
+    # at most TRAIN_DOCS rows are broadcast
+    measured = texts.join(F.broadcast(chosen), "id").select("h", "id", "y", "text").mapInArrow(run, "h long, id long, y double, x array<double>")
+    found = measured.orderBy("h", "id", "x", "y").limit(TRAIN_DOCS).select("y", "x").collect()
     return fit(np.array([r["x"] for r in found]).reshape(-1, len(FEATURES)), np.array([float(r["y"] > 0) for r in found]))
 
 
@@ -129,7 +130,12 @@ def _strength(sites: DataFrame, mean: str, above: str, n: str) -> float:
 
 def hierarchical(rows: DataFrame, prior: float, keep: float = KEEP) -> DataFrame:
     """Scores of rows (doc_id, host, path, logit): doc_id, host, path, evidence (probability by the text alone), host_rate,
-    path_rate (posteriors; the path's without the document), score, kept."""
+    path_rate (posteriors; the path's without the document), score, kept.
+
+    Null hosts and paths are sites; a null id is scored like others; repeated rows count and are scored each; equal scores give
+    equal verdicts; an empty table gives no rows. Texts play no part here, and other columns none at all.
+    """
+    rows = rows.select("doc_id", "host", "path", "logit")
     rows = written(rows.withColumn("p", 1 / (1 + F.exp(-F.col("logit")))), "quality-evidence")
     paths = written(rows.groupBy("host", "path").agg(F.sum("p").alias("path_sum"), F.count("*").alias("path_docs")), "quality-paths")
     hosts = written(paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_docs").alias("host_docs"), F.count("*").alias("host_paths")), "quality-hosts")
@@ -152,8 +158,9 @@ def hierarchical(rows: DataFrame, prior: float, keep: float = KEEP) -> DataFrame
 def quality_model(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **columns: str) -> DataFrame:
     """Fits, scores and combines: one row per row of docs, as hierarchical() returns them.
 
-    A null or empty text has features of 0 and is scored by them; null hosts and paths are sites of their own; repeated rows
-    are scored each; an empty table gives no rows. Labels of unknown documents are ignored. If no label is known or all are
+    A null or empty text has features of 0 and is scored by them; very long texts are measured whole; null hosts and paths are
+    sites of their own; repeated rows are scored each; an empty table gives no rows; other columns play no part, whatever
+    their names. Labels of unknown documents are ignored. If no label is known or all are
     alike, scores follow the sites alone.
     """
     model = train(docs, labels, **{k: v for k, v in columns.items() if k in ("id_col", "text_col")})

@@ -126,6 +126,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_quality_rules(docs: DataFrame) -> DataFrame:
+    """Measures and verdicts of all rows; nulls, empty texts, repeated rows and empty tables as in quality_rules(). Very long
+    texts are measured whole; ties play no part."""
     return quality_rules(docs).select("doc_id", *METRICS, "base_failed", "host_refused", "kept")
 
 
