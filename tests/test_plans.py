@@ -105,5 +105,5 @@ def test_dedup_plan_has_no_cartesian_product(spark):
 
 def test_works_without_the_optional_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = f"import sys, shutil; shutil.copytree({root!r}, {str(tmp_path / 'r')!r}, ignore=shutil.ignore_patterns('llm', '.git', 'corpus_pipeline.py')); sys.path.insert(0, {str(tmp_path / 'r')!r}); import __spark_entry__ as e; assert len(e.queries()) > 80 and not e.HAS_LLM"
+    code = f"import sys, shutil; shutil.copytree({root!r}, {str(tmp_path / 'r')!r}, ignore=shutil.ignore_patterns('llm', '.git', 'corpus_pipeline.py')); sys.path.insert(0, {str(tmp_path / 'r')!r}); import __spark_entry__ as e; assert len(e.queries()) > 80 and e.llm is None and not any(k.startswith('op') for k in e.oracle_sql())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
