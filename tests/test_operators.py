@@ -106,8 +106,8 @@ def test_mapping(spark):
     assert sorted(str(r[0]) for r in mapping.apply_map(df, "kind", mapping.categorical_map(df, "kind")).collect()) == ["B2B", "None", "Retail", "Retail"]
     names = spark.createDataFrame([("Raj Sharma",), ("Raj Sharma",), ("Raj Sharam",), ("Zoe",)], "name string")
     assert {r["name"]: r["canonical"] for r in mapping.name_clusters(names, "name").collect()} == {"Raj Sharma": "Raj Sharma", "Raj Sharam": "Raj Sharma", "Zoe": "Zoe"}
-    typos = spark.createDataFrame([("high",)] * 4 + [("hgih",), ("low",)], "u string")
-    assert {r[0] for r in mapping.standardize_case(typos, "u").collect()} == {"High", "Hgih", "Low"}
+    typos = spark.createDataFrame([("high",)] * 4 + [("urgent",)] * 3 + [("hgih",), ("urgnt",), ("low",)], "u string")
+    assert {r[0] for r in mapping.standardize_case(typos, "u").collect()} == {"High", "Hgih", "Urgent", "Low"}
 
 
 def test_name_clusters_equal_all_pairs(spark, monkeypatch):

@@ -110,10 +110,11 @@ def semantic_types(df: DataFrame, order: list[str]) -> DataFrame:
     return rows_frame(df.sparkSession, rows, "column string, semantic_type string, confidence double, imputation string")
 
 
-def domain_scores(df: DataFrame, order: list[str], words: dict[str, str] | None = None) -> DataFrame:
+def domain_scores(df: DataFrame, order: list[str], words: dict[str, list[str]] | None = None) -> DataFrame:
     """domain, score: 1 for each column whose name has one of the domain's words, 0.5 for each of the first 20 values of a
-    string column that has one. words: another vocabulary, space-separated."""
-    vocabulary = {d: w.split() for d, w in (words or K.DOMAIN_WORDS).items()}
+    string column that has one. words: another vocabulary, a list of words
+    for each domain."""
+    vocabulary = words or K.DOMAIN_WORDS
     names = [c.lower().replace(" ", "_") for c in df.columns]
     head = df.orderBy(*[q(c) for c in order]).select(*[F.lower(q(c)).alias(c) for c in strings(df)]).limit(20).collect() if strings(df) else []
     values = [v for r in head for v in r if v is not None]

@@ -24,6 +24,8 @@ from .impute import sensitive
 from .profile import primary_like
 from .shared import numbered, numbers, q, written
 
+#: Identifiers with up to so many distinct names have all of them compared.
+FEW_NAMES = 30
 MASTER_DOMAINS = ("Retail", "Finance", "Healthcare", "Education", "HR", "CRM", "Insurance", "Government", "Real Estate")
 
 
@@ -102,17 +104,25 @@ class Engine:
         """(rid_a, rid_b): rows that share an identifier and have equal or neighbouring names, or share a gov id.
 
         Every merge needs an equal identifier, so neighbours are looked for inside each identifier's rows: rows with the same
-        identifier and name are paired with their first, and firsts with the next few names. A value that many rows share
-        makes as many pairs as it has rows, not their square.
+        identifier and name are paired with their first; firsts with all others if an identifier has FEW_NAMES names at most,
+        else with the next few by name and the next few by the name's words in order. A value that many rows share makes as
+        many pairs as it has rows, not their square.
         """
         half = (self.config.neighbourhood_window - 1) // 2
         ids = F.concat(*[F.transform(F.filter(F.col(k), lambda x: x != ""), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in ("gov", "email", "phone")])
         entries = written(facts.select("_rid", F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array_distinct(ids)).alias("id")), "dedup-entries")
         first = written(entries.groupBy("id", "name").agg(F.min("_rid").alias("first"), F.count("*").alias("n")), "dedup-first")
         same = entries.join(first.where("n > 1"), ["id", "name"]).where("_rid != first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
-        ranked = numbered(first.select("id", "name", "first"), ["id", "name"], "rank")
-        ahead = ranked.select("id", F.col("first").alias("a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + half)).alias("rank"))
-        near = ahead.join(ranked.select("id", "rank", F.col("first").alias("b")), ["id", "rank"]).select("a", "b")
+        sizes = first.groupBy("id").agg(F.count("*").alias("names"))
+        ranked = numbered(first.select("id", "name", "first").join(sizes, "id"), ["id", "name"], "rank")
+        reach = F.when(F.col("names") <= FEW_NAMES, F.col("names")).otherwise(half)
+
+        def following(r: DataFrame) -> DataFrame:
+            ahead = r.select("id", F.col("first").alias("a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + reach)).alias("rank"))
+            return ahead.join(r.select("id", "rank", F.col("first").alias("b")), ["id", "rank"]).select("a", "b")
+
+        by_words = numbered(ranked.where(F.col("names") > FEW_NAMES).drop("rank").withColumn("words", fuzzy.token_sort_key(F.col("name"))), ["id", "words", "name"], "rank")
+        near = following(ranked).union(following(by_words))
         gov = ranked.where(F.col("id").startswith("gov:")).groupBy("id").agg(F.min("first").alias("a"))
         star = ranked.join(gov, "id").where("first != a").select("a", F.col("first").alias("b"))
         return same.union(near).union(star).select(F.least("a", "b").alias("rid_a"), F.greatest("a", "b").alias("rid_b")).distinct()
@@ -142,6 +152,8 @@ class Engine:
         threshold = self.config.dedup_threshold
         parts = [(0.60, sim)]
         parts += [(w, F.when(equal[k], 100.0).when(apart[k], 0.0)) for k, w in (("email", 0.20), ("phone", 0.15))]
+        at = lambda p: F.nullif(F.get(F.col(f"{p}_address"), F.lit(0)), F.lit(""))
+        parts.append((0.05, F.when(at("a").isNotNull() & at("b").isNotNull(), fuzzy.ratio_udf(at("a"), at("b")))))
         weight = reduce(Column.__add__, (F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in parts))
         score = F.try_divide(reduce(Column.__add__, (F.coalesce(v * w, F.lit(0.0)) for w, v in parts)), weight)
         close = F.coalesce((sim >= threshold) | ((sim >= threshold - 10) & (score >= threshold)), F.lit(False))

@@ -13,7 +13,7 @@ from ..config import ImputationRule
 from ..functions import constants as K
 from ..functions import text as X
 from .rules import condition, replace
-from .shared import carried, numbers, q, stats_row, strings
+from .shared import carried, numbers, q, quantiles, stats_row, strings
 
 
 def sensitive(column: str, words: tuple[str, ...] = K.SENSITIVE_WORDS) -> bool:
@@ -28,16 +28,16 @@ def gaps(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def statistics(df: DataFrame, plan: dict[str, str]) -> dict[str, object]:
-    """The fill value of each column whose strategy is a mean, median, mode or knn (median), from one aggregate."""
+    """The fill value of each column whose strategy is a mean, median, mode or knn (median): one aggregate, and one distributed
+    sort for all medians."""
     items: dict[str, Column] = {}
+    middle = quantiles(df, {c: [0.5] for c, s in plan.items() if s in ("fill_median", "fill_knn") and c in numbers(df)})
     for c, strategy in plan.items():
-        if strategy in ("fill_median", "fill_knn") and c in numbers(df):
-            items[c] = F.median(q(c))
-        elif strategy == "fill_mean" and c in numbers(df):
+        if strategy == "fill_mean" and c in numbers(df):
             items[c] = F.avg(q(c))
         elif strategy == "fill_mode":
             items[c] = F.mode(q(c), deterministic=True)
-    return stats_row(df, items)
+    return stats_row(df, items) | {c: v[0] if v else None for c, v in middle.items()}
 
 
 def apply_statistical(df: DataFrame, plan: dict[str, str], order: list[str] | None = None, constant: str = "Unknown", guard: bool = True) -> tuple[DataFrame, dict[str, object]]:

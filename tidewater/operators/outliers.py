@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from .rules import replace
-from .shared import numbers, q, rows_frame, stats_row
+from .shared import numbers, q, quantiles, rows_frame, stats_row
 
 
 def bounds_for(column: str, compat: bool = False) -> tuple[float | None, float | None] | None:
@@ -32,8 +32,8 @@ def clip(c: Column, low: float | None, high: float | None) -> Column:
 
 
 def _quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float] | None]:
-    s = stats_row(df, {c: F.struct(F.count(q(c)).alias("n"), F.percentile(q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("p")) for c in columns})
-    return {c: tuple(v["p"]) if v["n"] >= 4 else None for c, v in s.items()}
+    n, found = stats_row(df, {c: F.count(q(c)) for c in columns}), quantiles(df, {c: [0.25, 0.75] for c in columns})
+    return {c: tuple(found[c]) if n[c] >= 4 else None for c in columns}
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], k: float = 1.5) -> dict[str, tuple[float, float]]:
@@ -53,7 +53,7 @@ def clip_all(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]
 
 def cap_domain(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]], k: float = 1.5) -> DataFrame:
     """Values outside hard bounds become the column's median (of all values, before), then quartile bounds clip."""
-    medians = stats_row(df, {c: F.median(q(c)) for c in bounds})
+    medians = {c: v[0] if v else None for c, v in quantiles(df, {c: [0.5] for c in bounds}).items()}
 
     def capped(c: str) -> Column:
         low, high = bounds[c]

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as X
-from .shared import numbers, q, rows_frame, stats_row, strings
+from .shared import numbers, q, quantiles, rows_frame, stats_row, strings
 
 
 def primary_like(name: str) -> bool:
@@ -112,8 +112,7 @@ def invalid_literals(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, k: float = 1.5, columns: list[str] | None = None) -> DataFrame:
     """column, q1, q3, outliers outside [q1 - k iqr, q3 + k iqr], by exact quartiles."""
     cols = columns or numbers(df)
-    s = stats_row(df, {c: F.percentile(q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))) for c in cols})
-    bounds = {c: v for c, v in s.items() if v is not None and v[0] is not None}
+    bounds = {c: v for c, v in quantiles(df, {c: [0.25, 0.75] for c in cols}).items() if v}
     counts = stats_row(df, {c: F.count_if((q(c) < a - k * (b - a)) | (q(c) > b + k * (b - a))) for c, (a, b) in bounds.items()})
     rows = [(c, *(map(float, bounds[c]) if c in bounds else (None, None)), counts.get(c, 0)) for c in cols]
     return rows_frame(df.sparkSession, rows, "column string, q1 double, q3 double, outliers long")
@@ -143,13 +142,13 @@ def constant_columns(df: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, n, mean, median, std, skew (adjusted, as statistics packages give it), min, max."""
     cols = columns or numbers(df)
-    fs = {"n": F.count, "mean": F.avg, "median": F.median, "std": F.stddev_samp, "g1": F.skewness, "min": F.min, "max": F.max}
+    fs = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "g1": F.skewness, "min": F.min, "max": F.max}
     s = stats_row(df, {(c, k): f(q(c).cast("double")) for c in cols for k, f in fs.items()})
-    rows = []
+    middle, rows = quantiles(df, {c: [0.5] for c in cols}), []
     for c in cols:
         n, g = s[c, "n"], s[c, "g1"]
         skew = g * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and g is not None and g == g else None
-        rows.append((c, n, s[c, "mean"], s[c, "median"], s[c, "std"], skew, s[c, "min"], s[c, "max"]))
+        rows.append((c, n, s[c, "mean"], middle[c][0] if middle[c] else None, s[c, "std"], skew, s[c, "min"], s[c, "max"]))
     return rows_frame(df.sparkSession, rows, "column string, n long, mean double, median double, std double, skew double, min double, max double")
 
 
@@ -183,15 +182,22 @@ def describe(df: DataFrame) -> DataFrame:
     return df.summary()
 
 
+def sample_rows(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """n rows by the digest of their key: a spot check that anyone can repeat."""
+    return df.orderBy(F.md5(q(key).cast("string").cast("binary")), q(key)).limit(n)
+
+
 def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     """The first n rows in an order."""
     return df.orderBy(*[q(c) for c in order]).limit(n)
 
 
 def column_profile(df: DataFrame, order: list[str], samples: int = 8) -> DataFrame:
-    """column, dtype, null_pct, n_unique, samples (of the first rows), min, max: what an advisor is told about a column."""
+    """column, dtype, null_pct, n_unique, samples (of the first rows), min, max, mean, scripts (of the text values of the
+    samples): what an advisor is told about a column."""
     base = {r["column"]: r for r in profile_columns(df).collect()}
     head = preview(df, order, samples).collect()
-    ends = stats_row(df, {(c, k): f(q(c).cast("double")) for c in numbers(df) for k, f in (("min", F.min), ("max", F.max))})
-    rows = [(c, base[c]["dtype"], base[c]["null_pct"], base[c]["n_unique"], [str(r[c]) for r in head if r[c] is not None], ends.get((c, "min")), ends.get((c, "max"))) for c in df.columns]
-    return rows_frame(df.sparkSession, rows, "column string, dtype string, null_pct double, n_unique long, samples array<string>, min double, max double")
+    ends = stats_row(df, {(c, k): f(q(c).cast("double")) for c in numbers(df) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))})
+    scripts = preview(df, order, samples).agg(*[F.array_sort(F.collect_set(X.script_of(q(c)))).alias(c) for c in strings(df)]).first() if strings(df) else {}
+    rows = [(c, base[c]["dtype"], base[c]["null_pct"], base[c]["n_unique"], [str(r[c]) for r in head if r[c] is not None], ends.get((c, "min")), ends.get((c, "max")), ends.get((c, "mean")), list(scripts[c]) if c in strings(df) else []) for c in df.columns]
+    return rows_frame(df.sparkSession, rows, "column string, dtype string, null_pct double, n_unique long, samples array<string>, min double, max double, mean double, scripts array<string>")

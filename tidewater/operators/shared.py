@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from itertools import accumulate
@@ -97,6 +98,44 @@ def numbered(df: DataFrame, order: list[str], name: str = "_rid") -> DataFrame:
     return out.select(*[q(c) for c in placed.columns if c != name], (F.col("_number_from") + F.col(name).bitwiseAND((1 << 33) - 1)).alias(name))
 
 
+def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float] | None]:
+    """Exact quantiles of numeric columns, between neighbours by linear interpolation; None for a column without values.
+
+    Values of all columns are counted, dealt by ranges and sorted, so no task holds a column; counts by range reach the driver,
+    which finds the ranges that hold the ranks wanted, and then the values at those.
+    """
+    spark, cols = df.sparkSession, list(wanted)
+    if not cols:
+        return {}
+    one = F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    counts = df.select(F.explode(one).alias("x")).select("x.c", "x.v").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "v").withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "quantile-counts")
+    sizes = sorted(dealt.groupBy("c", "part").agg(F.sum("n").alias("n")).collect())
+    total = {i: sum(r["n"] for r in sizes if r["c"] == i) for i in range(len(cols))}
+    places = {(i, p): p * (total[i] - 1) for i, c in enumerate(cols) for p in wanted[c] if total[i]}
+    ranks = {i: sorted({int(f(x)) for (j, _), x in places.items() if j == i for f in (math.floor, math.ceil)}) for i in total}
+    before, targets = dict.fromkeys(total, 0), []
+    for c, part, n in sizes:
+        if inside := [r for r in ranks[c] if before[c] <= r < before[c] + n]:
+            targets.append((c, part, before[c], inside))
+        before[c] += n
+    if not targets:
+        return dict.fromkeys(cols)
+    found = dealt.join(F.broadcast(spark.createDataFrame(targets, "c int, part int, before long, ranks array<long>")), ["c", "part"])  # a few rows a column
+    upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    hits = found.withColumn("upto", upto).select("c", "v", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("r"))
+    at = {(r["c"], r["r"]): r["v"] for r in hits.collect()}
+    forget(dealt)
+
+    def value(i: int, p: float) -> float:
+        x = places[i, p]
+        low, high = at[i, math.floor(x)], at[i, math.ceil(x)]
+        return low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+
+    return {c: [value(i, p) for p in wanted[c]] if total[i] else None for i, c in enumerate(cols)}
+
+
 def carried(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
     """For each column c the nearest non-null values before and after each row, itself included: c_prev, c_next, and their
     places c_prev_at, c_next_at (numbers in _rid).

@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions import fuzzy
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import classify, currency, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
+from ..operators import audit, classify, currency, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
 from ..operators.shared import numbered, q
 from . import console, pipeline
 from .planner import plan
@@ -111,8 +111,18 @@ _add("top_value_distribution", _on("orders", lambda df: profile.top_values(df, "
 _num = lambda c: f"(regexp_matches({c}, {_NUMBER}))"
 _sales_text = ["priority", "customer_type", "price_text", "cost_text", "date_text", "delivery_status", "tracking_id", "order_status", "payment_status", "urgency"]
 _add("mixed_types", _on("sales", profile.mixed_types), _union(_sales_text, lambda c: f"count(*) FILTER ({c} IS NOT NULL AND {_num(c)}) AS n_numeric, count(*) FILTER ({c} IS NOT NULL AND NOT {_num(c)}) AS n_text", "sales"), "sales")
-_add("table_health", _on("people", profile.health))
-_add("check_all_issues", _on("people", console.check_all))
+_people_numbers = ["record_id", "age", "salary"]
+_beyond = lambda c, t="people": f"(SELECT count(*) FROM {t}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t}) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))"
+_add("table_health", _on("people", profile.health),
+     f"WITH c AS (SELECT count(*) AS n, {_missing} AS m FROM people), d AS ({_dups}), o AS (SELECT {' + '.join(map(_beyond, _people_numbers))} AS k), i AS (SELECT {' + '.join(f'count(*) FILTER (trim({c}) IN {_in(K.HEALTH_LITERALS)})' for c in _text)} AS k FROM people) "
+     f"SELECT n AS n_rows, m AS missing_cells, round(100.0 - 100.0 * m / (n * {len(_people)}), 4) AS completeness, duplicates, o.k AS outliers, i.k AS invalid_literals, m + duplicates + o.k + i.k AS issues, n - duplicates AS clean_rows, 3::INT AS numeric_columns, 8::INT AS text_columns, 0::INT AS other_columns FROM c, d, o, i", "people")
+_sigma = lambda c: f"(SELECT count(*) FROM people, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM people) WHERE abs({c} - m) > 3 * s)"
+_add("check_all_issues", _on("people", console.check_all),
+     f"WITH d AS ({_dups}), r AS (SELECT 'rows' AS \"check\", '' AS \"column\", (SELECT count(*) FROM people) AS n UNION ALL SELECT 'duplicates', '', duplicates FROM d), f AS ("
+     + " UNION ALL ".join([*(f"SELECT 'nulls' AS \"check\", '{c}' AS \"column\", count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS n FROM people" for c in _people), *(f"SELECT 'outliers', '{c}', {_sigma(c)}" for c in _people_numbers), *(f"SELECT 'constant', '{c}', CASE WHEN count(DISTINCT {c}) = 1 THEN 1 ELSE 0 END FROM people" for c in _text)])
+     + ") SELECT * FROM r UNION ALL SELECT * FROM f WHERE n > 0", "people")
+_add("spot_check_rows", _on("orders", lambda df: profile.sample_rows(df, "o_orderkey")), "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 5")
+_add("average_null_share", _on("people", lambda df: profile.profile_columns(df).agg(F.round(F.avg("null_pct"), 4).alias("average_null_pct"))), f"SELECT round(({' + '.join(f'round(100.0 * (count(*) - count({_loaded(c)})) / count(*), 4)' for c in _people)}) / {len(_people)}, 4) AS average_null_pct FROM people", "people")
 _add("preview_rows", _on("orders", lambda df: profile.preview(df, ["o_orderkey"], 20)), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
 
 # ---- scalar functions -----------------------------------------------------------------------------------------------
@@ -212,7 +222,11 @@ _add("cap_domain", _on("measures", lambda df: _rounded(outliers.cap_domain(df.se
      f"WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN score < 0 OR score > 100 THEN (SELECT median(score) FROM measures) ELSE score END AS score FROM measures), b AS (SELECT quantile_cont(score, 0.25) AS a, quantile_cont(score, 0.75) AS b FROM r) SELECT l_orderkey, l_linenumber, round({_clipped('score', 'a - 1.5 * (b - a)', 'b + 1.5 * (b - a)')}, 6) AS score FROM r, b", "measures")
 _method = lambda c: "any_value('domain_cap')" if outliers.bounds_for(c) else f"CASE WHEN count({c}) < 4 OR abs(skewness({c})) > 1 THEN 'iqr' ELSE 'zscore' END"
 _add("outlier_plan", _on("measures", lambda df: df.sparkSession.createDataFrame(list(outliers.choose_methods(df, _measured).items()), "column string, method string")), _union(_measured, lambda c: f"{_method(c)} AS method", "measures"), "measures")
-_add("treat_outliers", _on("measures", lambda df: outliers.treat_outliers(df.select(*_line, "quantity", "score", "metric"), "", columns=["quantity", "score", "metric"])[1]))
+_add("treat_outliers", _on("measures", lambda df: _rounded(outliers.treat_outliers(df.select(*_line, "quantity", "score", "metric"), "", columns=["quantity", "score", "metric"])[0], ["quantity", "score", "metric"])),
+     f"""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN quantity < 0 THEN (SELECT median(quantity) FROM measures) ELSE quantity END AS quantity, CASE WHEN score < 0 OR score > 100 THEN (SELECT median(score) FROM measures) ELSE score END AS score, metric FROM measures),
+    b AS (SELECT quantile_cont(quantity, 0.25) AS qa, quantile_cont(quantity, 0.75) AS qb, quantile_cont(score, 0.25) AS sa, quantile_cont(score, 0.75) AS sb, quantile_cont(metric, 0.25) AS ma, quantile_cont(metric, 0.75) AS mb, avg(metric) AS m, stddev_samp(metric) AS s, abs(skewness(metric)) > 1 AS k FROM r)
+    SELECT l_orderkey, l_linenumber, round({_clipped('quantity', 'qa - 1.5 * (qb - qa)', 'qb + 1.5 * (qb - qa)')}, 6) AS quantity, round({_clipped('score', 'sa - 1.5 * (sb - sa)', 'sb + 1.5 * (sb - sa)')}, 6) AS score,
+      round({_clipped('metric', 'CASE WHEN k THEN ma - 1.5 * (mb - ma) ELSE m - 3 * s END', 'CASE WHEN k THEN mb + 1.5 * (mb - ma) ELSE m + 3 * s END')}, 6) AS metric FROM r, b""", "measures")
 _part = "(SELECT unnest(list_filter(list_transform(string_split({0}, ','), lambda x: trim(x)), lambda x: x <> '')) AS x FROM people)"
 _email_bad = f"CASE WHEN regexp_matches(x, '{K.DUMMY_EMAIL}') THEN 'placeholder' WHEN NOT regexp_matches(x, '{K.VALID_EMAIL}') THEN 'invalid' END"
 _d = "regexp_replace(x, '\\D', '', 'g')"
@@ -242,6 +256,7 @@ def _score(c: str) -> str:
     return f"'{kind}' AS semantic_type, greatest(0, round({' - '.join(parts)}, 4))::DOUBLE AS score"
 
 
+_add("overall_score", _on("people", lambda df: df.sparkSession.createDataFrame([(float(validate.validate(df.select(*_kinds), _kinds)[0]),)], "overall double")), f"SELECT round(avg(score), 1) AS overall FROM ({_union(list(_kinds), _score, 'people')})", "people")
 _add("validation_score", _on("people", lambda df: validate.column_scores(df.select(*_kinds), _kinds)), _union(list(_kinds), _score, "people"), "people")
 
 # ---- classification -------------------------------------------------------------------------------------------------
@@ -251,7 +266,20 @@ _semantic = [("record_id", "ID_Code", 0.90, "fill_none"), ("full_name", "Name",
              ("pan", "Structured_ID", 0.92, "fill_none"), ("age", "Numeric", 0.85, "fill_median"), ("salary", "Numeric", 0.85, "fill_none"), ("segment", "Categorical", 0.80, "fill_mode"), ("active", "Categorical", 0.80, "fill_mode"), ("mostly_empty", "Categorical", 0.80, "fill_mode")]
 _add("semantic_types", _on("people", lambda df: classify.semantic_types(df, ["record_id"])), _values('"column", semantic_type, confidence, imputation', [(f"'{a}'", f"'{b}'", f"{c}::DOUBLE", f"'{i}'") for a, b, c, i in _semantic]), "people")
 _add("cleaning_plan", _on("people", lambda df: df.sparkSession.createDataFrame([(c, s.imputation, s.normalization, s.deduplication) for c, s in plan(classify.infer_schema(df, ["record_id"])).items()], "column string, imputation string, normalization string, deduplication string")))
-_add("domain_scores", _on("sales", lambda df: classify.domain_scores(df, ["o_orderkey"])))
+_sales_cols = ["o_orderkey", "o_custkey", "total_amount", "gap_amount", *_sales_text, "order_date", "delivery_date"]
+_domains = f"""WITH names AS (SELECT unnest({_sales_cols}) AS c), head AS (SELECT * FROM sales ORDER BY o_orderkey LIMIT 20), vals AS ({' UNION ALL '.join(f'SELECT lower({c}) AS v FROM head' for c in _sales_text)}),
+    words AS ({' UNION ALL '.join(f"SELECT '{d}' AS domain, unnest({w}) AS w" for d, w in K.DOMAIN_WORDS.items())}), n AS (SELECT DISTINCT domain, c FROM words, names WHERE contains(c, w)), v AS (SELECT domain, count(*) AS k FROM (SELECT domain, v, bool_or(contains(v, w)) AS hit FROM words, (SELECT v, row_number() OVER () AS i FROM vals WHERE v IS NOT NULL) GROUP BY domain, v, i) WHERE hit GROUP BY domain)
+    SELECT domain, (SELECT count(*) FROM n WHERE n.domain = d.domain) + 0.5::DOUBLE * coalesce((SELECT k FROM v WHERE v.domain = d.domain), 0) AS score FROM (SELECT DISTINCT domain FROM words) d"""
+_add("domain_scores", _on("sales", lambda df: classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"])), _domains, "sales")
+_add("top_domains", _on("sales", lambda df: audit.top_domains(classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"]))), f"{_domains} ORDER BY score DESC, domain LIMIT 5", "sales")
+_add("type_histogram", _on("people", lambda df: audit.type_histogram(df.sparkSession, classify.infer_schema(df, ["record_id"]))), f"SELECT semantic_type, count(*) AS n FROM ({_values('name, semantic_type', [(f"'{a}'", f"'{b}'") for a, b, *_ in _semantic])}) GROUP BY 1", "people")
+_steps = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS step, CAST(o_orderkey % 3 AS INT) AS step_number, 'priority' AS \"column\", CAST(o_custkey % 5 AS VARCHAR) AS task, trim(customer_type) AS original, upper(trim(customer_type)) AS cleaned, 'e' AS explanation, CASE WHEN o_orderkey % 4 = 0 THEN 'info' WHEN o_orderkey % 4 = 1 THEN 'fix' ELSE 'change' END AS severity FROM sales"
+_entries = lambda df: df.selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS step", "CAST(o_orderkey % 3 AS INT) AS step_number", "'priority' AS column", "CAST(o_custkey % 5 AS STRING) AS task", "trim(customer_type) AS original", "upper(trim(customer_type)) AS cleaned", "'e' AS explanation", "CASE WHEN o_orderkey % 4 = 0 THEN 'info' WHEN o_orderkey % 4 = 1 THEN 'fix' ELSE 'change' END AS severity")
+_add("audit_by_step", _on("sales", lambda df: audit.by_step(_entries(df))), f"SELECT step_number, step, count(*) AS entries, count(*) FILTER (severity IN ('change', 'fix', 'remove')) AS changes FROM ({_steps}) GROUP BY 1, 2", "sales")
+_add("audit_distinct_changes", _on("sales", lambda df: audit.distinct_changes(_entries(df)).select("original", "cleaned", "step_number", "task")), f"SELECT original, cleaned, step_number, task FROM ({_steps}) QUALIFY row_number() OVER (PARTITION BY original, cleaned ORDER BY step_number, \"column\", task) = 1", "sales")
+_links = {"nation": ["region"], "customer": ["nation"], "supplier": ["nation"], "orders": ["customer"], "lineitem": ["orders", "part", "supplier"]}
+_add("table_levels", lambda s, d: s.createDataFrame(list(classify.levels(["region", "nation", "customer", "supplier", "part", "orders", "lineitem"], _links).items()), "table_name string, level int"),
+     f"WITH RECURSIVE e AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, unnest({b}) AS b" for a, b in _links.items())}), w AS (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem']) AS t, 0 AS level UNION ALL SELECT a, level + 1 FROM w JOIN e ON b = t) SELECT t AS table_name, max(level)::INT AS level FROM w GROUP BY t")
 _add("dataset_intent", lambda s, d: s.createDataFrame([(t, classify.intent_of(frame(s, d, t)), classify.is_time_series(frame(s, d, t).columns)) for t in ("people", "sales", "events", "labels")], "table_name string, intent string, time_series boolean"),
      _values("table_name, intent, time_series", [("'people'", "'Non-Predictive Business'", "false"), ("'sales'", "'Non-Predictive Business'", "true"), ("'events'", "'Non-Predictive Business'", "false"), ("'labels'", "'Predictive'", "false")]))
 _all = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"]
@@ -266,7 +294,14 @@ _add("relationships_inferred", lambda s, d: s.createDataFrame(classify.relations
 
 _add("canonical_categories", _on("people", lambda df: mapping.apply_map(df.select("record_id", "segment"), "segment", mapping.categorical_map(df, "segment"))), f"SELECT record_id, {_TITLE.format('lower(trim(segment))')} AS segment FROM people", "people")
 _add("transliterate_names", _on("people", lambda df: mapping.apply_map(df.select("record_id", "full_name"), "full_name", mapping.name_map(df, "full_name"))), r"SELECT record_id, " + _TITLE.format(r"regexp_replace(trim(full_name), '\s+', ' ', 'g')") + " AS full_name FROM people", "people")
-_add("standardize_case_typos", _on("sales", lambda df: mapping.standardize_case(df.select("o_orderkey", "urgency"), "urgency")), "SELECT o_orderkey, CASE WHEN urgency = 'hgih' THEN 'Hgih' ELSE 'High' END AS urgency FROM sales", "sales")
+_accented = lambda df: df.select("record_id", F.when(F.col("record_id") % 3 == 0, F.translate("full_name", "aeu", "áéü")).otherwise(F.col("full_name")).alias("full_name"))
+_add("transliterate_accents", _on("people", lambda df: mapping.apply_map(_accented(df), "full_name", mapping.name_map(_accented(df), "full_name"))),
+     r"SELECT record_id, CASE WHEN regexp_matches(n, '[^\x00-\x7F]') THEN strip_accents(trim(n)) ELSE " + _TITLE.format(r"regexp_replace(trim(n), '\s+', ' ', 'g')") + " END AS full_name FROM (SELECT record_id, CASE WHEN record_id % 3 = 0 THEN translate(full_name, 'aeu', 'áéü') ELSE full_name END AS n FROM people)", "people")
+_spelled = lambda values: {v: v.replace("Ü", "UE").replace("ü", "ue").upper() for v in values}
+_umlauts = lambda df: df.select("record_id", F.when(F.col("record_id") % 2 == 0, F.translate("segment", "Uu", "Üü")).otherwise(F.col("segment")).alias("segment"))
+_add("translated_categories", _on("people", lambda df: mapping.apply_map(_umlauts(df), "segment", mapping.categorical_map(_umlauts(df), "segment", _spelled))),
+     f"SELECT record_id, CASE WHEN regexp_matches(n, '[^\\x00-\\x7F]') THEN upper(replace(replace(trim(n), 'Ü', 'UE'), 'ü', 'ue')) ELSE {_TITLE.format('lower(trim(n))')} END AS segment FROM (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN translate(segment, 'Uu', 'Üü') ELSE segment END AS n FROM people)", "people")
+_add("standardize_case_typos", _on("sales", lambda df: mapping.standardize_case(df.select("o_orderkey", "urgency"), "urgency")), "SELECT o_orderkey, CASE WHEN urgency IN ('urgnt', 'Urgent ') THEN 'Urgent' ELSE 'High' END AS urgency FROM sales", "sales")
 _add("name_clusters", _on("people", lambda df: mapping.name_clusters(df, "full_name")))
 _pairs = lambda df: df.where("full_name IS NOT NULL").select("record_id", F.lower(F.trim("full_name")).alias("a"), F.reverse(F.lower(F.trim("full_name"))).alias("b"))
 _lcs = """list_reduce(list_concat([list_transform(string_split(b, ''), lambda x: 0)], list_transform(string_split(a, ''), lambda c: list_transform(string_split(b, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END))),
@@ -275,7 +310,8 @@ _add("fuzz_ratio_pairs", _on("people", lambda df: _pairs(df).select("record_id",
      f"WITH p AS (SELECT DISTINCT lower(trim(full_name)) AS a, reverse(lower(trim(full_name))) AS b FROM people WHERE full_name IS NOT NULL), s AS (SELECT a, round(200.0 * list_last({_lcs}) / (length(a) + length(b)), 6) AS similarity FROM p) SELECT record_id, similarity FROM people JOIN s ON lower(trim(full_name)) = a", "people")
 _add("fuzz_ratio_expression", _on("people", lambda df: df.where("full_name IS NOT NULL").select(F.lower(F.trim("full_name")).alias("a")).distinct().select("a", F.reverse("a").alias("b")).select("a", F.round(fuzzy.ratio_expr(F.col("a"), F.col("b")), 6).alias("similarity"))),
      f"WITH p AS (SELECT DISTINCT lower(trim(full_name)) AS a, reverse(lower(trim(full_name))) AS b FROM people WHERE full_name IS NOT NULL) SELECT a, round(200.0 * list_last({_lcs}) / (length(a) + length(b)), 6) AS similarity FROM p", "people")
-_add("token_sort_pairs", _on("people", lambda df: _pairs(df).select("record_id", F.round(fuzzy.token_sort_udf("a", F.concat(F.element_at(F.split("a", " "), -1), F.lit(" "), F.col("a"))), 6).alias("similarity"))))
+_add("token_sort_pairs", _on("people", lambda df: _pairs(df).select("record_id", F.round(fuzzy.token_sort_udf("a", F.concat(F.element_at(F.split("a", " "), -1), F.lit(" "), F.col("a"))), 6).alias("similarity"))),
+     f"WITH w AS (SELECT DISTINCT lower(trim(full_name)) AS n, list_filter(string_split(lower(trim(full_name)), ' '), lambda x: x <> '') AS x FROM people WHERE full_name IS NOT NULL), p AS (SELECT n, array_to_string(list_sort(x), ' ') AS a, array_to_string(list_sort(list_append(x, x[len(x)])), ' ') AS b FROM w), s AS (SELECT n, round(200.0 * list_last({_lcs}) / (length(a) + length(b)), 6) AS similarity FROM p) SELECT record_id, similarity FROM people JOIN s ON lower(trim(full_name)) = n", "people")
 _base = lambda df: numbered(df, ["record_id"])
 _keyed = f"(SELECT record_id, {_KEY.format('full_name')} AS k, row_number() OVER (ORDER BY record_id) - 1 AS rid FROM people)"
 _add("sorted_neighbourhood_pairs", _on("people", lambda df: dedup.sorted_neighbourhood(_base(df), "full_name", 11)),
@@ -307,7 +343,14 @@ _add("golden_record", _on("people", lambda df: dedup.golden_records(_clustered(d
     SELECT g.cid, full_name, email, phone, city, pan, age, cluster_size FROM g LEFT JOIN e ON g.cid = e.cid LEFT JOIN p ON g.cid = p.cid""", "people")
 _add("cluster_backfill", _on("people", lambda df: dedup.backfill(_clustered(df.select("record_id", "full_name", "phone", "email")), ["full_name", "phone", "email"]).drop("_rid", "_cid")),
      f"WITH {_c} SELECT record_id, " + ", ".join(f"CASE WHEN {_KEY.format(x)} <> '' THEN {x} ELSE coalesce(arg_min({x}, rid) FILTER ({_KEY.format(x)} <> '') OVER (PARTITION BY cid), {x}) END AS {x}" for x in ("full_name", "phone", "email")) + " FROM c", "people")
-_add("enrich_all_rows", _on("people", lambda df: dedup.enrich(_clustered(df), _tiers(df)).drop("_rid", "_cid")))
+_add("merge_totals", _on("people", lambda df: audit.merge_totals(dedup.cluster_report(_clustered(df)))), f"WITH {_c} SELECT count(*) AS clusters, coalesce(sum(n - 1), 0)::BIGINT AS merged_rows FROM (SELECT count(*) AS n FROM c GROUP BY cid HAVING count(*) > 1)", "people")
+_rest = ["city", "pan", "segment", "active", "mostly_empty"]
+_add("enrich_all_rows", _on("people", lambda df: dedup.enrich(_clustered(df), _tiers(df)).drop("_rid", "_cid")),
+     f"""WITH {_c}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, count(*) AS k FROM c GROUP BY cid),
+    e AS (SELECT cid, string_agg(x, ', ' ORDER BY r) AS email FROM (SELECT cid, arg_min(email, rid) AS x, min(rid) AS r FROM c WHERE {_KEY.format('email')} <> '' GROUP BY cid, {_KEY.format('email')}) GROUP BY cid),
+    p AS (SELECT cid, string_agg(x, ', ' ORDER BY r) AS phone FROM (SELECT cid, arg_min(phone, rid) AS x, min(rid) AS r FROM c WHERE length({_phone}) >= 7 GROUP BY cid, {_phone}) GROUP BY cid),
+    a AS (SELECT g.cid, {', '.join(f'CASE WHEN k > 1 THEN g.{x} END AS g_{x}' for x in ['full_name', *_rest])}, CASE WHEN k > 1 THEN e.email END AS g_email, CASE WHEN k > 1 THEN p.phone END AS g_phone FROM g LEFT JOIN e ON g.cid = e.cid LEFT JOIN p ON g.cid = p.cid)
+    SELECT record_id, coalesce(g_full_name, full_name) AS full_name, {', '.join(f"CASE WHEN {_KEY.format(x)} <> '' THEN {x} ELSE coalesce(g_{x}, {x}) END AS {x}" for x in ['email', 'phone', *_rest])}, age, salary FROM c JOIN a ON c.cid = a.cid""", "people")
 _add("health_clusters_type12", _on("people", lambda df: dedup.health_clusters(_clustered(df), _tiers(df)).groupBy("kind").agg(F.count("*").alias("n"))),
      "WITH " + _c + ", k AS (SELECT cid, count(DISTINCT (" + ", ".join(f"coalesce({_PROFILE.format(x)}, '')" for x in _dup_cols) + f")) = 1 AS e, count(DISTINCT nullif({_KEY.format('email')}, '')) > 1 OR count(DISTINCT nullif({_KEY.format('phone')}, '')) > 1 AS d, count(*) AS n FROM c GROUP BY cid) SELECT CASE WHEN e THEN 'exact' WHEN d THEN 'contacts differ' ELSE 'contacts agree' END AS kind, count(*) AS n FROM k WHERE n > 1 GROUP BY 1", "people")
 _add("low_quality_rows", _on("people", lambda df: dedup.low_quality(df, classify.Tiers(gov=("pan",), phone=("phone",))).select("record_id")), f"SELECT record_id FROM people WHERE {_KEY.format('pan')} = '' AND {_KEY.format('phone')} = ''", "people")

@@ -16,7 +16,10 @@ from .advisor import Advisor
 
 _destructive = re.compile(K.DESTRUCTIVE_ANYWHERE)
 _destructive_start = re.compile(K.DESTRUCTIVE_START)
-_tables = re.compile(K.TABLE_AFTER)
+_name = r"(?:`(?:[^`]|``)+`|\"[^\"]+\"|\w+)"
+_tables = re.compile(rf"\b(?:FROM|UPDATE|INTO|OVERWRITE(?:\s+TABLE)?|TABLE(?:\s+IF\s+EXISTS)?)\s+({_name}(?:\.{_name})*)", re.I)
+#: Commands that change nothing, by the beginning of their plan's name.
+READ_ONLY = ("Describe", "Show", "Explain", "Use", "SetCommand", "SetCatalogAndNamespace", "Analyze", "Refresh", "Cache", "Uncache", "ListFiles", "ListJars")
 _group = re.compile(r"\bGROUP\s+BY\s+(?P<cols>.+?)(?=\s+HAVING\b|\s+ORDER\b|\s+LIMIT\b|;|$)", re.I | re.S)
 _select = re.compile(r"\bSELECT\s+(?P<cols>.+?)\s+FROM\b", re.I | re.S)
 
@@ -26,8 +29,31 @@ def is_destructive(sql: str) -> bool:
     return bool(_destructive.search(sql)) or any(_destructive_start.match(s) for s in sql.split(";"))
 
 
+def changes_data(spark: SparkSession, sql: str) -> bool:
+    """Does Spark's parser find a command or an insert anywhere in the plan of a statement, below WITH and FROM too? What it
+    can't parse is judged by its words."""
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except Exception:
+        return is_destructive(sql)
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    while todo:
+        plan = todo.pop()
+        if any(k.isInstance(plan) for k in kinds) and not plan.getClass().getSimpleName().startswith(READ_ONLY):
+            return True
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return False
+
+
 def table_names(sql: str) -> list[str]:
-    return sorted(set(_tables.findall(sql)))
+    """Tables after FROM, INTO and the like as they are written, qualified and back-ticked names whole, without plain quotes."""
+    return sorted({x.replace('"', "") for x in _tables.findall(sql) if x.upper() not in ("TABLE", "IF")})
+
+
+def question_intent(question: str) -> str:
+    """write if the question asks for a change, else read."""
+    return classify.question_intent(question)
 
 
 def fix_group_by(sql: str) -> str:
@@ -97,6 +123,10 @@ def check_all(df: DataFrame) -> DataFrame:
     return rows_frame(df.sparkSession, rows, "check string, column string, n long")
 
 
+#: Questions a console remembers, and those of them an advisor is told.
+TURNS_KEPT, TURNS_TOLD = 20, 4
+
+
 @dataclass
 class Console:
     """Runs SQL over registered views. A destructive statement needs confirm=True, and its tables are copied first."""
@@ -104,6 +134,7 @@ class Console:
     spark: SparkSession
     advisor: Advisor | None = None
     log: list[tuple] = field(default_factory=list)
+    asked: list[str] = field(default_factory=list)
 
     def ask(self, question: str, tables: dict[str, list[str]]) -> str:
         """SQL for a question: by the advisor if there is one, else one of the standard questions on the table it names."""
@@ -115,9 +146,25 @@ class Console:
         kind = next((k for words, k in ((("duplicate",), "duplicates"), (("null", "missing", "empty"), "nulls"), (("summary", "describe"), "summary"), (("count", "how many"), "count")) if any(w in low for w in words)), "top10")
         return actions[kind]
 
+    def answer(self, question: str, tables: dict[str, list[str]]) -> dict:
+        """What `ask` gives, with what to know before it runs: sql, explanation, is_destructive, pending_confirmation,
+        affected_tables, intent_type, safety_warning, confidence."""
+        self.asked = [*self.asked, question][-TURNS_KEPT:]
+        sql, by_advisor = self.ask(question, tables), self.advisor is not None
+        destructive = changes_data(self.spark, sql)
+        used = table_names(sql)
+        return {
+            "sql": sql, "explanation": "written by the advisor" if by_advisor else "a standard question", "is_destructive": destructive, "pending_confirmation": destructive, "affected_tables": used,
+            "intent_type": "write" if destructive else question_intent(question), "safety_warning": f"changes {', '.join(used) or 'data'}; copies are made first" if destructive else "", "confidence": 0.7 if by_advisor else 0.9,
+        }
+
+    def recent(self) -> list[str]:
+        """The last questions, as an advisor is told them."""
+        return self.asked[-TURNS_TOLD:]
+
     def run(self, sql: str, confirm: bool = False) -> DataFrame:
         """Result of a statement, repaired if it fails the first time. Every call is logged."""
-        destructive = is_destructive(sql)
+        destructive = changes_data(self.spark, sql)
         if destructive and not confirm:
             raise PermissionError(f"this statement changes data and needs confirmation: {sql}")
         if destructive:
@@ -137,7 +184,7 @@ class Console:
 
     def backup(self, table: str) -> str:
         """A copy of a table under a new name, whole."""
-        name = f"{table}_backup_{int(time.time() * 1000)}"
+        name = re.sub(r"\W+", "_", table).strip("_") + f"_backup_{int(time.time() * 1000)}"
         self.spark.table(table).write.saveAsTable(name)
         return name
 

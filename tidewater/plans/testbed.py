@@ -44,7 +44,7 @@ SELECT o_orderkey, o_custkey, o_totalprice AS total_amount, CASE WHEN o_orderkey
     ELSE 'soon' END AS date_text,
   CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN ' ' ELSE 'Delivered' END AS delivery_status, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || CAST(o_orderkey AS STRING) END AS tracking_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'DELIVERED' ELSE 'open' END AS order_status, CASE WHEN o_orderkey % 2 = 0 THEN 'Card' END AS payment_status,
-  CASE WHEN o_orderkey % 11 = 0 THEN 'hgih' WHEN o_orderkey % 11 = 1 THEN 'HIGH' ELSE 'high' END AS urgency
+  CASE WHEN o_orderkey IN (1, 2) THEN 'urgnt' WHEN o_orderkey % 11 = 0 THEN 'Urgent ' WHEN o_orderkey % 11 = 1 THEN 'HIGH' ELSE 'high' END AS urgency
 FROM {orders}
 """
 

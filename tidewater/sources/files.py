@@ -36,9 +36,10 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return replace(df, {c: X.load_missing(q(c)) for c in strings(df)})
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str = "UTF-8", **options) -> DataFrame:
-    """CSV with a header. Markers of missing values are read as null before types are inferred."""
-    reader = spark.read.options(header=True, inferSchema=infer, encoding=encoding, multiLine=True, escape='"', **options)
+def read_csv(spark: SparkSession, path: str, infer: bool = True, encoding: str = "UTF-8", multiline: bool = False, **options) -> DataFrame:
+    """CSV with a header. Markers of missing values are read as null before types are inferred. multiline: values may hold line
+    ends; such files can't be split, so each is one task."""
+    reader = spark.read.options(header=True, inferSchema=infer, encoding=encoding, multiLine=multiline, escape='"', **options)
     return missing_to_null(tidy_names(reader.csv(path)))
 
 

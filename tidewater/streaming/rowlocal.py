@@ -1,6 +1,6 @@
 """The stages of a cleaning run that look at one row at a time, on a streaming DataFrame.
 
-Normalisation, domain rules without aggregates and money conversion are expressions, so the same code runs on a stream. What
+Normalisation, domain rules without aggregates and fills with given values are expressions, so the same code runs on a stream. What
 needs the whole table (statistics, maps by distinct value, deduplication) is decided on a batch table first and handed in.
 """
 
