@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,11 @@ def test_every_rule_refuses_a_host(spark):
         assert not r["base_failed"] and all(r[f"fail_{x}"] == (x == r["host"]) for x in quality_rules.RULES)
         assert (r["host_refused"], r["kept"]) == ((True, False) if r["host"] in fails else (False, True)), r
     assert len(got) == 1200
+    duckdb = pytest.importorskip("duckdb").connect()
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[3] for r in rows]})
+    duckdb.register("documents", documents)
+    expected = duckdb.execute(f"SELECT * FROM ({quality_rules.ORACLE}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in quality_rules.op7_quality_rules(docs(spark, rows)).orderBy("doc_id").collect()] == expected
 
 
 # 8 language

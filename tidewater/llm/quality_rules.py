@@ -143,19 +143,18 @@ m AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN ln ON w.doc_id = ln.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
-b AS (SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2 FROM m),
-h AS (SELECT host, count(*) AS n, CAST(count(*) FILTER (f1) AS DOUBLE) AS f1, CAST(count(*) FILTER (f2) AS DOUBLE) AS f2 FROM b GROUP BY host),
-t AS (SELECT sum(n) AS n, sum(n * n) AS n2, count(*) AS hosts, sum(f1) / sum(n) AS m1, sum(f2) / sum(n) AS m2 FROM h),
-v AS (SELECT any_value(t.m1) AS m1, any_value(t.m2) AS m2, any_value(t.n) AS n, any_value(t.n2) AS n2, any_value(t.hosts) AS hosts,
-    sum(h.n * (h.f1 / h.n - t.m1) ** 2) AS s1, sum(h.n * (h.f2 / h.n - t.m2) ** 2) AS s2 FROM h, t),
-q AS (SELECT greatest(least(m1, 1 - 1e-6), 1e-6) AS m1, greatest(least(m2, 1 - 1e-6), 1e-6) AS m2, n, n2, hosts, s1, s2 FROM v),
-g AS (SELECT m1, m2, CASE WHEN n - n2 / n > 0 THEN (s1 - (hosts - 1) * m1 * (1 - m1)) / (n - n2 / n) ELSE 0 END AS b1,
-    CASE WHEN n - n2 / n > 0 THEN (s2 - (hosts - 1) * m2 * (1 - m2)) / (n - n2 / n) ELSE 0 END AS b2 FROM q),
-k AS (SELECT m1, m2, CASE WHEN b1 > 0 THEN least(greatest(m1 * (1 - m1) / b1 - 1, 2), 1000) ELSE 1000 END AS k1,
-    CASE WHEN b2 > 0 THEN least(greatest(m2 * (1 - m2) / b2 - 1, 2), 1000) ELSE 1000 END AS k2 FROM g),
-r AS (SELECT h.host, (f1 + m1 * k1) / (n + k1) AS r1, (f2 + m2 * k2) / (n + k2) AS r2, n + k1 + 1 AS n1, n + k2 + 1 AS n2 FROM h, k),
-x AS (SELECT host, r1 - 3 * sqrt(r1 * (1 - r1) / n1) > 0.5 OR r2 - 3 * sqrt(r2 * (1 - r2) / n2) > 0.5 AS host_refused FROM r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed, host_refused,
-  NOT (f1 OR f2) AND NOT host_refused AS kept
+b AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, n_dup_lines > 5,
+    word_chars < 2 * n_words OR word_chars > 15 * n_words] AS failed, failed[1] OR failed[2] AS base_failed FROM m),
+h AS (SELECT rule, host, count(*) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS f
+  FROM (SELECT host, unnest(range(1, 6)) AS rule, unnest(failed) AS failed FROM b) GROUP BY rule, host),
+t AS (SELECT rule, sum(n) AS n, sum(n * n) AS n2, count(*) AS hosts, sum(f) / sum(n) AS mean FROM h GROUP BY rule),
+v AS (SELECT rule, any_value(t.n) AS n, any_value(n2) AS n2, any_value(hosts) AS hosts, greatest(least(any_value(mean), 1 - 1e-6), 1e-6) AS mean,
+    sum(h.n * (f / h.n - mean) ** 2) AS ss FROM h JOIN t USING (rule) GROUP BY rule),
+g AS (SELECT rule, mean, CASE WHEN n - n2 / n > 0 THEN (ss - (hosts - 1) * mean * (1 - mean)) / (n - n2 / n) ELSE 0 END AS between_hosts FROM v),
+k AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(greatest(mean * (1 - mean) / between_hosts - 1, 2), 1000) ELSE 1000 END AS strength FROM g),
+r AS (SELECT host, (f + mean * strength) / (n + strength) AS rate, n + strength + 1 AS size FROM h JOIN k USING (rule)),
+x AS (SELECT host, bool_or(rate - 3 * sqrt(rate * (1 - rate) / size) > 0.5) AS host_refused FROM r GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_refused,
+  NOT base_failed AND NOT host_refused AS kept
 FROM b JOIN x ON b.host IS NOT DISTINCT FROM x.host
 """
