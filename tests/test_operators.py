@@ -197,3 +197,13 @@ def test_result_does_not_depend_on_row_order(spark):
 def test_neighbourhood_makes_few_pairs(spark):
     df = numbered(spark.createDataFrame([(i, "same") for i in range(300)], "row int, name string"), ["row"])
     assert dedup.sorted_neighbourhood(df, "name").count() == 299
+
+
+def test_changes_and_conflicts(spark):
+    rows = [(0, 0, "Asha Rao", "P1"), (1, 0, "Asha  Raoo", "P1"), (2, 0, None, "P2"), (3, 3, "Ivan", None)]
+    df = spark.createDataFrame(rows, "_rid long, _cid long, full_name string, pan string")
+    links = spark.createDataFrame([(0, 1, True, "same identifier"), (0, 2, True, "same name"), (0, 3, False, "skip")], "rid_a long, rid_b long, link boolean, reason string")
+    got = dedup.changes(df, classify.Tiers(name=("full_name",), gov=("pan",)), links).collect()
+    assert [tuple(r) for r in got] == [(0, "Asha  Raoo", "Asha Rao", 3, 2, {"same identifier": 1, "same name": 1})]
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (2, 3)], "rid_a long, rid_b long")
+    assert {(r["rid_a"], r["rid_b"]): r["conflict"] for r in dedup.conflicts(df, pairs, ["pan"]).collect()} == {(0, 1): False, (0, 2): True, (2, 3): False}

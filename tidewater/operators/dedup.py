@@ -232,6 +232,31 @@ def cluster_report(clustered: DataFrame, name: str | None = None) -> DataFrame:
     return out.where("cluster_size > 1").withColumnRenamed("_cid", "cluster")
 
 
+def changes(clustered: DataFrame, t: Tiers, links: DataFrame | None = None) -> DataFrame:
+    """cluster, original, corrected, cluster_size, variants (distinct names) of clusters of more than one row: the first name
+    that is not the golden one (else the first name), and the golden name. With judged links, reasons: links by reason."""
+    name = t.name[0]
+    gold = golden_records(clustered.select("_rid", "_cid", q(name)), Tiers(name=t.name[:1])).where("cluster_size > 1").select("_cid", q(name).alias("corrected"), "cluster_size")
+    key = lambda c: F.coalesce(X.dedup_key(c), F.lit(""))
+    rows = clustered.select("_cid", "_rid", q(name).alias("_name")).join(gold, "_cid")
+    there = F.when(F.col("_name").isNotNull(), F.col("_rid"))
+    other = F.when(key(F.col("_name")) != key(F.col("corrected")), there)
+    out = rows.groupBy(F.col("_cid").alias("cluster"), "corrected", "cluster_size").agg(F.coalesce(F.min_by("_name", other), F.min_by("_name", there)).alias("original"), F.count_distinct("_name").alias("variants"))
+    out = out.select("cluster", "original", "corrected", "cluster_size", "variants")
+    if links is None:
+        return out
+    by_reason = links.where("link").join(clustered.select(F.col("_rid").alias("rid_a"), F.col("_cid").alias("cluster")), "rid_a").groupBy("cluster", "reason").agg(F.count("*").alias("n"))
+    return out.join(by_reason.groupBy("cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons")), "cluster", "left")
+
+
+def conflicts(df: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (rid_a, rid_b) with conflict: some identifier column has different valid values in both rows."""
+    side = lambda p: df.select(F.col("_rid").alias(f"rid_{p}"), *[F.coalesce(X.dedup_key(q(c)), F.lit("")).alias(f"{p}{i}") for i, c in enumerate(columns)])
+    both = pairs.join(side("a"), "rid_a").join(side("b"), "rid_b")
+    differ = [(F.col(f"a{i}") != "") & (F.col(f"b{i}") != "") & (F.col(f"a{i}") != F.col(f"b{i}")) for i in range(len(columns))]
+    return both.select("rid_a", "rid_b", reduce(Column.__or__, differ, F.lit(False)).alias("conflict"))
+
+
 def health_clusters(clustered: DataFrame, t: Tiers) -> DataFrame:
     """cluster, cluster_size, kind of clusters: exact (all columns the same), contacts agree, or contacts differ."""
     columns = [c for c in clustered.columns if c not in ("_rid", "_cid") and not primary_like(c)]

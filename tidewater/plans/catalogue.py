@@ -344,6 +344,14 @@ _add("golden_record", _on("people", lambda df: dedup.golden_records(_clustered(d
 _add("cluster_backfill", _on("people", lambda df: dedup.backfill(_clustered(df.select("record_id", "full_name", "phone", "email")), ["full_name", "phone", "email"]).drop("_rid", "_cid")),
      f"WITH {_c} SELECT record_id, " + ", ".join(f"CASE WHEN {_KEY.format(x)} <> '' THEN {x} ELSE coalesce(arg_min({x}, rid) FILTER ({_KEY.format(x)} <> '') OVER (PARTITION BY cid), {x}) END AS {x}" for x in ("full_name", "phone", "email")) + " FROM c", "people")
 _add("merge_totals", _on("people", lambda df: audit.merge_totals(dedup.cluster_report(_clustered(df)))), f"WITH {_c} SELECT count(*) AS clusters, coalesce(sum(n - 1), 0)::BIGINT AS merged_rows FROM (SELECT count(*) AS n FROM c GROUP BY cid HAVING count(*) > 1)", "people")
+_key = lambda c: f"coalesce({_KEY.format(c)}, '')"
+_add("dedup_changes", _on("people", lambda df: dedup.changes(_clustered(df), _tiers(df))),
+     f"""WITH {_c}, n AS (SELECT cid, full_name, rid, gaps_name AS gaps FROM (SELECT *, CASE WHEN full_name IS NULL THEN 1 ELSE 0 END AS gaps_name FROM c)),
+    g AS (SELECT cid, {_gold('full_name')}, count(*) AS k FROM n GROUP BY cid HAVING count(*) > 1), r AS (SELECT n.cid, n.rid, n.full_name, g.full_name AS corrected, k FROM n JOIN g ON n.cid = g.cid)
+    SELECT cid AS cluster, coalesce(arg_min(full_name, rid) FILTER ({_key('full_name')} <> {_key('corrected')}), arg_min(full_name, rid)) AS original, corrected, k AS cluster_size, count(DISTINCT full_name) AS variants FROM r GROUP BY cid, corrected, k""", "people")
+_differ = lambda c: f"({_key('a.' + c)} <> '' AND {_key('b.' + c)} <> '' AND {_key('a.' + c)} <> {_key('b.' + c)})"
+_add("conflicting_identifiers", _on("people", lambda df: dedup.conflicts(_base(df), _base(df).where("_rid % 2 = 0").select(F.col("_rid").alias("rid_a"), (F.col("_rid") + 1).alias("rid_b")), ["pan", "email"])),
+     f"WITH {_c} SELECT a.rid AS rid_a, b.rid AS rid_b, {_differ('pan')} OR {_differ('email')} AS conflict FROM c a JOIN c b ON a.rid % 2 = 0 AND b.rid = a.rid + 1", "people")
 _rest = ["city", "pan", "segment", "active", "mostly_empty"]
 _add("enrich_all_rows", _on("people", lambda df: dedup.enrich(_clustered(df), _tiers(df)).drop("_rid", "_cid")),
      f"""WITH {_c}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, count(*) AS k FROM c GROUP BY cid),
