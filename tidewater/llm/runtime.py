@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import counted, forget, scratch_path, shared_dir, written
 
-__all__ = ["counted", "forget", "join_groups", "let", "partitions", "scratch_path", "shared_dir", "slices", "table", "written"]
+__all__ = ["counted", "forget", "join_groups", "let", "partitions", "scratch_path", "shared_dir", "slices", "table", "together", "written"]
 
 #: No more groups than this are ever broadcast by `join_groups`.
 HEAVY_GROUPS = 10_000
@@ -25,6 +25,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """All rows of written frames of one schema in one scan. A union has a scan for each, and Spark pushes semi-joins into all
+    of them, so in a loop plans, and what the driver keeps of them, would grow with every turn."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[df.written_to for df in frames])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once and hands it to body, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
