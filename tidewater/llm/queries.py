@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, html_extract, language_id, mixing, near_dedup, packing, quality_model, quality_rules
+from . import bpe, centroids, chat_format, exact_dedup, html_extract, language_id, mixing, near_dedup, packing, quality_model, quality_rules, resampling
 from .runtime import table
 
 
@@ -24,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": lambda s, d: language_id.op8_language_id(table(s, d, "documents")),
         "op9_chat_format": lambda s, d: chat_format.op9_chat_format(s, table(s, d, "conversations")),
         "op10_bpe": lambda s, d: bpe.bpe_digests(table(s, d, "documents"), bpe.tokenizer_path()),
+        "op11_centroids": lambda s, d: centroids.op11_centroids(table(s, d, "embeddings")),
+        "op12_resampling": lambda s, d: resampling.op12_resampling(table(s, d, "documents"), table(s, d, "benchmark")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_chat_format": chat_format.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_chat_format": chat_format.ORACLE, "op11_centroids": centroids.ORACLE, "op12_resampling": resampling.ORACLE}
