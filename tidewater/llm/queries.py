@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, centroids, chat_format, exact_dedup, html_extract, language_id, mixing, near_dedup, packing, quality_model, quality_rules, resampling
+from . import bpe, centroids, chat_format, exact_dedup, html_extract, language_id, mixing, near_dedup, packing, pii, quality_model, quality_rules, resampling
 from .runtime import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": lambda s, d: bpe.bpe_digests(table(s, d, "documents"), bpe.tokenizer_path()),
         "op11_centroids": lambda s, d: centroids.op11_centroids(table(s, d, "embeddings")),
         "op12_resampling": lambda s, d: resampling.op12_resampling(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op13_pii": lambda s, d: pii.op13_pii(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
