@@ -179,7 +179,9 @@ def people(spark, n=400, seed=11):
         c = card()
         true = {0: ("email", f"ann{i} [at] mail{i} [dot] com"), 1: ("phone", f"(0{rng.choice('23456789')}{digits(2)}) {digits(3)}-{digits(4)}"), 2: ("card", f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"), 3: ("ip", f"{rng.randrange(11, 255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}")}.get(k)
         lead = {0: "write an email to", 1: "call my phone", 2: "paid by card", 3: "logged from host"}.get(k, "")
-        trap = {4: f"order no {digits(12)} of 2021-03-04", 5: f"the total was 1,{digits(3)},{digits(3)}.50 in 2019", 6: f"isbn 978-3-16-{digits(6)}-0 is a book"}.get(k)
+        refused = card()
+        refused = refused[:-1] + str((int(refused[-1]) + 5) % 10)
+        trap = {4: f"order no {digits(12)} of 2021-03-04" if i % 16 == 4 else f"a {refused} among words", 5: f"the total was 1,{digits(3)},{digits(3)}.50 in 2019", 6: f"isbn 978-3-16-{digits(6)}-0 is a book"}.get(k)
         base = f"Mail a{i}@mail.example.com, call +1 (555) 010-{i % 10000:04d}, card {card()}, host 10.{i % 255}.3.4."
         text = f"Some words here. {lead} {true[1]} and more words. Bye." if true else f"We saw {trap} and left it." if trap else base
         if true:
@@ -229,6 +231,6 @@ def test_expectation_maximisation_finds_reliabilities():
     right = rng.random((n, 6)) < np.where(truth[:, None], yes, no)
     votes = np.where(right == truth[:, None], 1, -1) * (rng.random((n, 6)) < 0.8)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    r = pii.reliabilities(patterns, np.zeros(len(patterns), bool), counts.astype(float))
+    r = pii.reliabilities(patterns, np.zeros(len(patterns)), counts.astype(float))
     assert np.abs(r.yes - yes).max() < 0.05 and np.abs(r.no - no).max() < 0.05 and abs(r.prior - 0.3) < 0.03
-    assert ((r.posterior(votes, np.zeros(n, bool)) > 0.5) == truth).mean() > 0.9
+    assert ((r.posterior(votes, np.zeros(n)) > 0.5) == truth).mean() > 0.9

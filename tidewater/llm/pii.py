@@ -4,8 +4,8 @@ One pass over texts finds, for each kind, the spans of the fixed patterns (`base
 spelled-out addresses, numbers without a plus sign, other separators, and what the patterns matched but their checks refused.
 Six labelers, of regular expressions, gazetteers and context, vote yes, no or nothing on each. Counts of vote patterns over all
 candidates of all documents, a table of a fixed size, go through expectation-maximisation, which estimates how often a labeler
-is right on spans that are personal data and on those that aren't; base spans count as known. The posteriors of a bounded sample
-of candidates then train a logistic classifier of shape and surrounding words, and what it finds beyond the base is added.
+is right on spans that are personal data and on those that aren't; base spans count as known to be, and what a check refused as
+known not to be (a card number without its check digit isn't one). The posteriors of a bounded sample of candidates then train a logistic classifier of shape and surrounding words, and what it finds beyond the base is added.
 
 Texts are read once and never shuffled. Patterns run in time linear in the text: no repeat can start again inside its own run.
 """
@@ -250,20 +250,22 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 @dataclass
 class Reliability:
     """What expectation-maximisation finds of one kind. yes[j]: how often labeler j, if it votes on personal data, says so;
-    no[j]: how often, if it votes on other spans, it refuses them. prior: the share of personal data among candidates that
-    aren't base spans."""
+    no[j]: how often, if it votes on other spans, it refuses them. prior: the share of personal data among candidates of which
+    nothing is known."""
 
     yes: np.ndarray = field(default_factory=lambda: np.full(len(LABELERS), 0.8))
     no: np.ndarray = field(default_factory=lambda: np.full(len(LABELERS), 0.8))
     prior: float = 0.5
 
-    def posterior(self, votes: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probability that candidates with these votes (n x labelers, -1, 0, 1) are personal data; base spans are."""
+    def posterior(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Probability that candidates with these votes (n x labelers, -1, 0, 1) are personal data. known: 1 they are, -1 they
+        aren't, 0 not known."""
         ratio = np.where(votes > 0, np.log(self.yes / (1 - self.no)), np.where(votes < 0, np.log((1 - self.yes) / self.no), 0.0)).sum(1)
-        return np.where(base, 1.0, 1 / (1 + np.exp(-np.clip(ratio + np.log(self.prior / (1 - self.prior)), -30, 30))))
+        p = 1 / (1 + np.exp(-np.clip(ratio + np.log(self.prior / (1 - self.prior)), -30, 30)))
+        return np.where(known == 0, p, known > 0)
 
 
-def reliabilities(votes: np.ndarray, base: np.ndarray, counts: np.ndarray, strength: float = 10.0, steps: int = 200) -> Reliability:
+def reliabilities(votes: np.ndarray, known: np.ndarray, counts: np.ndarray, strength: float = 10.0, steps: int = 200) -> Reliability:
     """Expectation-maximisation over vote patterns with their counts.
 
     A labeler that doesn't vote says nothing. Every rate has `strength` pseudo-votes of 0.8 and stays between 0.5 and 0.999, so
@@ -271,10 +273,10 @@ def reliabilities(votes: np.ndarray, base: np.ndarray, counts: np.ndarray, stren
     """
     r, voted = Reliability(), votes != 0
     for _ in range(steps):
-        p = r.posterior(votes, base)
+        p = r.posterior(votes, known)
         yes, no = counts * p, counts * (1 - p)
         new = [np.clip((w @ (votes == v) + 0.8 * strength) / (w @ voted + strength), 0.5, 0.999) for w, v in ((yes, 1), (no, -1))]
-        prior = float((yes[~base].sum() + 1) / (counts[~base].sum() + 2))
+        prior = float((yes[known == 0].sum() + 1) / (counts[known == 0].sum() + 2))
         moved = max(np.abs(new[0] - r.yes).max(), np.abs(new[1] - r.no).max(), abs(prior - r.prior))
         r = Reliability(new[0], new[1], prior)
         if moved < 1e-9:
@@ -322,7 +324,7 @@ class Model:
     def added(self, spans: list[dict], sure: float = SURE) -> list[tuple[int, int, int, float]]:
         """(kind, start, end, probability) of candidates beyond the base that are personal data; of overlapping ones the most
         probable, then the first."""
-        loose = [s for s in spans if not s["base"]]
+        loose = [s for s in spans if not s["votes"][0]]  # neither base nor refused
         scored = []
         for k in {s["kind"] for s in loose}:
             mine = [s for s in loose if s["kind"] == k]
@@ -340,19 +342,22 @@ class Model:
 
 def train(spans: DataFrame) -> Model:
     """Learns from found() documents: reliabilities from the vote patterns of all candidates, classifiers from FIT_ROWS base
-    spans and FIT_ROWS others of each kind. Kinds without other candidates get no classifier."""
+    spans and FIT_ROWS others of each kind. Kinds without other candidates get no classifier. `strict`, the
+    vote of the fixed pattern and its check, is what is known."""
     each = spans.select("doc_id", F.explode("spans").alias("s"))
     counts = each.groupBy(F.col("s.kind").alias("kind"), F.col("s.base").alias("base"), F.col("s.votes").alias("votes")).count().collect()  # 3 ^ labelers patterns a kind at most
     labelers, weights, wanted = {}, {}, sorted({r["kind"] for r in counts if not r["base"]})
     for k in wanted:
         mine = sorted((r for r in counts if r["kind"] == k), key=lambda r: (r["base"], r["votes"]))
-        labelers[k] = reliabilities(np.array([r["votes"] for r in mine]), np.array([r["base"] for r in mine]), np.array([r["count"] for r in mine], float))
+        votes = np.array([r["votes"] for r in mine])
+        labelers[k] = reliabilities(votes, votes[:, 0], np.array([r["count"] for r in mine], float))
     order = F.xxhash64("doc_id", F.col("s.kind"), F.col("s.start"))
     parts = [each.where((F.col("s.kind") == k) & (F.col("s.base") == b)).select(order.alias("h"), "doc_id", "s").orderBy("h", "doc_id", "s").limit(FIT_ROWS) for k in wanted for b in (True, False)]
     rows = [r["s"] for part in parts for r in part.select("s").collect()]
     for k in wanted:
         mine = [s for s in rows if s["kind"] == k]
-        y = labelers[k].posterior(np.array([s["votes"] for s in mine]), np.array([s["base"] for s in mine]))
+        votes = np.array([s["votes"] for s in mine])
+        y = labelers[k].posterior(votes, votes[:, 0])
         weights[k] = classifier(design([s["dense"] for s in mine], [s["words"] for s in mine]), y)
     return Model(labelers, weights)
 
