@@ -19,7 +19,6 @@ class Config:
     typo_min_count: int = 3
     iqr_multiplier: float = 1.5
     z_threshold: float = 3.0
-    neighbourhood_window: int = 11
     advisor_chunk: int = 25
     min_money_share: float = 0.5
     compat_gov_id: bool = False

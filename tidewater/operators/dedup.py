@@ -1,9 +1,12 @@
 """Deduplication and entity resolution with guarded merge rules and golden records.
 
-Rows are nodes. Candidate pairs come from equal identifiers and from names that are neighbours in sorted order among rows
-that share an identifier; a rule expression says merge, block or skip for each pair; verified pairs make clusters by connected
-components; a cluster becomes a golden record, or enriches its rows. Everything is a join, an expression or a grouped
-aggregate; only name similarity runs in Python, in Arrow batches, over candidate pairs.
+Rows are nodes. Candidate pairs come from equal identifiers; a rule expression says merge, block or skip for each pair; verified
+pairs make clusters by connected components; a cluster becomes a golden record, or enriches its rows. Everything is a join, an
+expression or a grouped aggregate; only name similarity runs in Python, in Arrow batches, over candidate pairs.
+
+Clusters are those of all pairs, whatever number of rows shares an identifier. Rows alike in all that rules look at are one
+profile. Few profiles under an identifier are all paired; many meet by an exact similarity join of their names, and by what
+else they must agree in, through one representative each.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ from .graph import components
 from .impute import sensitive
 from .profile import primary_like
 from .shared import numbered, numbers, q, written
+from .similar import similar_pairs
 
-#: Identifiers with up to so many distinct names have all of them compared.
-FEW_NAMES = 30
+#: Identifiers with up to so many profiles have all of them paired; both ways give the same clusters.
+FEW_PROFILES = 64
 MASTER_DOMAINS = ("Retail", "Finance", "Healthcare", "Education", "HR", "CRM", "Insurance", "Government", "Real Estate")
 
 
@@ -101,44 +105,84 @@ class Engine:
         return df.select("_rid", name.alias("name"), arr(t.gov + t.other, X.dedup_key).alias("gov"), arr(t.email, X.dedup_key).alias("email"), arr(t.phone, X.dedup_phone).alias("phone"), arr(t.address, X.dedup_key).alias("address"))
 
     def candidates(self, facts: DataFrame) -> DataFrame:
-        """(rid_a, rid_b): rows that share an identifier and have equal or neighbouring names, or share a gov id.
+        """(rid_a, rid_b): pairs whose links make the same clusters as the links of all pairs of rows.
 
-        Every merge needs an equal identifier, so neighbours are looked for inside each identifier's rows: rows with the same
-        identifier and name are paired with their first; firsts with all others if an identifier has FEW_NAMES names at most,
-        else with the next few by name and the next few by the name's words in order. A value that many rows share makes as
-        many pairs as it has rows, not their square.
+        Every link needs an equal identifier. Rows with equal facts are each paired with their first, which stands for them.
+        """
+        keys = ["name", "gov", "email", "phone", "address"]
+        rows = written(facts.withColumn("profile", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)), "dedup-rows")
+        first = written(rows.groupBy("profile").agg(F.min("_rid").alias("pid"), *[F.first(k).alias(k) for k in keys]), "dedup-profiles")
+        copies = rows.select("_rid", "profile").join(first.select("profile", "pid").hint("merge"), "profile").where("_rid != pid").select(F.col("pid").alias("a"), F.col("_rid").alias("b"))
+        kinds = ("gov", "email", "phone") if self.tiers.name else ("gov",)
+        ids = F.concat(*[F.transform(F.filter(F.col(k), lambda x: x != ""), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in kinds])
+        # rows without a name link to nothing, if there are names at all
+        named = first.where("name IS NOT NULL") if self.tiers.name else first
+        values = F.concat(F.col("gov"), F.col("email"), F.col("phone"))
+        entries = written(named.select(F.explode(F.array_distinct(ids)).alias("id"), "pid", F.coalesce("name", F.lit("")).alias("name"), values.alias("values")), "dedup-entries")
+        sizes = written(entries.groupBy("id").agg(F.count("*").alias("profiles")).where("profiles > 1"), "dedup-sizes")
+        few = entries.join(sizes.where(F.col("profiles") <= FEW_PROFILES).select("id"), "id").select("id", "pid")
+        pairs = few.select("id", F.col("pid").alias("a")).join(few.select("id", F.col("pid").alias("b")), "id").where("a < b").select("a", "b")
+        many = sizes.where(F.col("profiles") > FEW_PROFILES).select("id")
+        if not many.isEmpty():
+            pairs = pairs.union(self._crowded(written(entries.join(many, "id"), "dedup-crowded")))
+        return written(copies.union(pairs).select(F.least("a", "b").alias("rid_a"), F.greatest("a", "b").alias("rid_b")).distinct(), "dedup-candidates")
+
+    def _crowded(self, entries: DataFrame) -> DataFrame:
+        """(a, b): pairs that connect what may link under identifiers with many profiles.
+
+        Under an e-mail or phone, rows link if their names are 85 alike and no identifier column says otherwise; under a gov id,
+        if names are 70 alike (75, if addresses can be equal) and no gov column does. Whether columns agree depends on the columns
+        that both rows have, so profiles are keyed by that: for each pair of sets of present columns under an identifier, by the
+        values of those in both. All profiles of two similar names under one key are compatible, so each is paired with the
+        other name's first only. Where the rules still have to see the pair itself, all are paired.
         """
-        half = (self.config.neighbourhood_window - 1) // 2
-        ids = F.concat(*[F.transform(F.filter(F.col(k), lambda x: x != ""), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in ("gov", "email", "phone")])
-        entries = written(facts.select("_rid", F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array_distinct(ids)).alias("id")), "dedup-entries")
-        first = written(entries.groupBy("id", "name").agg(F.min("_rid").alias("first"), F.count("*").alias("n")), "dedup-first")
-        same = entries.join(first.where("n > 1"), ["id", "name"]).where("_rid != first").select(F.col("first").alias("a"), F.col("_rid").alias("b"))
-        sizes = first.groupBy("id").agg(F.count("*").alias("names"))
-        ranked = numbered(first.select("id", "name", "first").join(sizes, "id"), ["id", "name"], "rank")
-        reach = F.when(F.col("names") <= FEW_NAMES, F.col("names")).otherwise(half)
-
-        def following(r: DataFrame) -> DataFrame:
-            ahead = r.select("id", F.col("first").alias("a"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + reach)).alias("rank"))
-            return ahead.join(r.select("id", "rank", F.col("first").alias("b")), ["id", "rank"]).select("a", "b")
-
-        by_words = numbered(ranked.where(F.col("names") > FEW_NAMES).drop("rank").withColumn("words", fuzzy.token_sort_key(F.col("name"))), ["id", "words", "name"], "rank")
-        near = following(ranked).union(following(by_words))
-        gov = ranked.where(F.col("id").startswith("gov:")).groupBy("id").agg(F.min("first").alias("a"))
-        star = ranked.join(gov, "id").where("first != a").select("a", F.col("first").alias("b"))
-        return same.union(near).union(star).select(F.least("a", "b").alias("rid_a"), F.greatest("a", "b").alias("rid_b")).distinct()
+        govs, gov = len(self.tiers.gov + self.tiers.other), F.col("id").startswith("gov:")
+        sure = max(85.0, float(self.config.dedup_threshold))
+        names = written(entries.select("id", "name").distinct().withColumn("n", F.monotonically_increasing_id()), "crowded-names")
+        alike = names.select("id", F.col("n").alias("n1"), F.col("n").alias("n2"), F.lit(100.0).alias("similarity"))
+        if self.tiers.name:
+            met = []
+            # a name similarity of s needs at least 2 s - 100 of its half, the ratio of sorted words
+            for some, least in ((names.where(~gov), 70.0), (names.where(gov), 40.0)):
+                if not some.isEmpty():
+                    met.append(similar_pairs(some.select(F.col("id").alias("by"), F.col("n").alias("id"), fuzzy.sorted_words_udf("name").alias("key")), None, least))
+            for found in met:
+                text = lambda i: names.select(F.col("n").alias(f"n{i}"), F.col("name").alias(f"name{i}"))
+                both = found.select(F.col("by").alias("id"), F.col("a").alias("n1"), F.col("b").alias("n2")).join(text(1).hint("merge"), "n1").join(text(2).hint("merge"), "n2")
+                both = both.withColumn("similarity", fuzzy.name_udf("name1", "name2")).where(F.col("similarity") >= F.when(gov, 70.0).otherwise(85.0))
+                alike = alike.union(both.select("id", "n1", "n2", "similarity")).union(both.select("id", F.col("n2").alias("n1"), F.col("n1").alias("n2"), "similarity"))
+        alike = written(alike, "crowded-alike")
+        there = F.transform("values", lambda v, i: (v != "") & (~gov | (i < govs)))
+        rows = entries.join(names.hint("merge"), ["id", "name"]).select("id", "n", "pid", "values", there.alias("there"))
+        rows = written(rows, "crowded-rows")
+        others = rows.select("id", F.col("there").alias("other")).distinct()
+        agreed = F.transform("values", lambda v, i: F.when(F.get("there", i) & F.get("other", i), v).otherwise(""))
+        nodes = written(rows.join(others.hint("merge"), "id").select("id", "there", "other", agreed.alias("agreed"), "n", "pid"), "crowded-nodes")
+        turned = ["id", F.col("other").alias("there"), F.col("there").alias("other"), "agreed", F.col("n").alias("n2")]
+        first = nodes.groupBy("id", "there", "other", "agreed", "n").agg(F.min("pid").alias("first"))
+        on = ["id", "there", "other", "agreed", "n2"]
+        mine = nodes.join(alike.withColumnRenamed("n1", "n").hint("merge"), ["id", "n"])
+        settled = F.col("similarity") >= F.when(gov, 75.0).otherwise(sure)
+        star = mine.where(settled).join(first.select(*turned, "first").hint("merge"), on).where("pid != first").select(F.col("pid").alias("a"), F.col("first").alias("b"))
+        full = mine.where(~settled).join(nodes.select(*turned, F.col("pid").alias("b")).hint("merge"), on).where("pid < b").select(F.col("pid").alias("a"), "b")
+        return star.union(full)
 
     def judged(self, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Pairs with similarity of names (null without), decision (merge, block, skip), corroborated, reason."""
+        """Pairs with decision (merge, block, skip), link, reason, and the similarity of names: null without, and where what the
+        rows' identifiers say blocks the pair whatever the names."""
         side = lambda p: facts.select(*[F.col(c).alias(f"{p}_{c}") for c in facts.columns])
         both = pairs.join(side("a"), F.col("rid_a") == F.col("a__rid")).join(side("b"), F.col("rid_b") == F.col("b__rid"))
         named = F.col("a_name").isNotNull() & F.col("b_name").isNotNull()
-        both = both.withColumn("similarity", F.when(named, fuzzy.name_udf("a_name", "b_name")))
-
         def any_pair(kind: str, test) -> Column:
             return F.exists(F.arrays_zip(F.col(f"a_{kind}").alias("x"), F.col(f"b_{kind}").alias("y")), lambda z: (z["x"] != "") & (z["y"] != "") & test(z["x"], z["y"]))
 
         equal = {k: any_pair(k, lambda x, y: x == y) for k in ("gov", "email", "phone", "address")}
         apart = {k: any_pair(k, lambda x, y: x != y) for k in ("gov", "email", "phone")}
+        blocked = apart["gov"] | (~equal["gov"] & ((equal["phone"] & ~apart["phone"] & apart["email"]) | (equal["email"] & ~apart["email"] & apart["phone"])))
+        # pairs are marked first, so that only those that names decide reach Python
+        both = both.withColumn("asked", named & ~blocked)
+        asked = both.where("asked").withColumn("similarity", fuzzy.name_udf("a_name", "b_name"))
+        both = asked.unionByName(both.where("NOT asked").withColumn("similarity", F.lit(None).cast("double")))
         valid = lambda p: reduce(Column.__or__, (F.exists(F.col(f"{p}_{k}"), lambda x: x != "") for k in ("gov", "email", "phone", "address")))
         sim, has_names = F.col("similarity"), F.lit(bool(self.tiers.name))
         gov = equal["gov"] & ~apart["gov"]

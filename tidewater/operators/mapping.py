@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import fuzzy
 from ..functions import text as X
-from .shared import q, shared_dir, written
+from .shared import forget, numbered, q, written
+from .similar import not_independent, similar_pairs
 
 #: Maps with at most this many values are broadcast when joined back.
-MOST_BROADCAST = 200_000
-#: Names whose openers a round of name_clusters finds on the driver.
-BATCH = 4096
+MOST_BROADCAST = 50_000
+#: Names in the first batch of name_clusters.
+BATCH = 2_048
 
 
 def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -95,87 +94,50 @@ def standardize_case(df: DataFrame, column: str) -> DataFrame:
     return apply_map(cased, column, typo_map(df, column))
 
 
-class _Openers:
-    """Opening names in order; finds the first that a key resembles.
-
-    Exact: an opener is passed over only if the characters that both hold (numbers of each of 64 classes) can't make a common
-    subsequence that is long enough; the others are compared one by one.
-    """
-
-    def __init__(self, threshold: float, keys: list[str] = ()):
-        self.threshold, self.keys = threshold, []
-        self.counts, self.sizes = np.zeros((max(64, len(keys)), 64), np.uint32), np.zeros(max(64, len(keys)), np.int64)
-        for k in keys:
-            self.add(k)
-
-    def _count(self, key: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64).astype(np.uint32)
-
-    def add(self, key: str) -> None:
-        n = len(self.keys)
-        if n == len(self.sizes):
-            self.counts, self.sizes = np.vstack([self.counts, np.zeros_like(self.counts)]), np.r_[self.sizes, np.zeros_like(self.sizes)]
-        self.counts[n], self.sizes[n] = self._count(key), len(key)
-        self.keys.append(key)
-
-    def first(self, key: str) -> int | None:
-        n = len(self.keys)
-        total = self.sizes[:n] + len(key)
-        shared = np.minimum(self.counts[:n], self._count(key)).sum(1, dtype=np.int64)
-        for i in np.flatnonzero((200.0 * shared >= self.threshold * total - 1e-6) | (total == 0)).tolist():
-            if fuzzy.ratio(key, self.keys[i]) >= self.threshold:
-                return i
-        return None
-
-
 def name_clusters(df: DataFrame, column: str, threshold: float = 80.0) -> DataFrame:
     """(name, canonical): names in sorted order open clusters; each later name joins the first open one whose opening name it
     resembles (token sort). The canonical name is the most frequent, then the longest, then the least.
 
-    Every name is compared with every opener before it. Names are decided in rounds: the first BATCH undecided ones, in
-    order, give the round's openers on the driver; all undecided names are compared with these, spread over all tasks. No
-    pairs are made. Work grows with names times openers, and rounds with openers by BATCH at most.
+    The sequential result, without a sequence: names are numbered in order and taken in batches, each as large as all before it.
+    A batch is first joined with the openers so far, by similarity; only what resembles none of them is joined with itself, and
+    the openers among it are the first independent set of that graph. No name and no pair reaches the driver. A cluster of very
+    many names costs its size once it has an opener; only its names in the batch that opens it meet each other.
     """
     spark = df.sparkSession
     names = df.where(q(column).isNotNull()).groupBy(q(column).alias("name")).agg(F.count("*").alias("n"))
     names = written(names.withColumn("key", fuzzy.token_sort_key(F.lower("name"))), "names")
     # names of one key share a cluster: each resembles what the others do
-    keys = names.groupBy("key").agg(F.min("name").alias("first"))
-    todo = written(keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").withColumn("cluster", F.lit(None).cast("string")), "name-keys")
-    base, rounds = f"{shared_dir(spark)}/tidewater/name-rounds-{uuid.uuid4().hex[:12]}", []
-    schema = "key string, first string, cluster string"
-    while batch := todo.orderBy("first").limit(BATCH).collect():
-        found, opened = _Openers(threshold), []
-        for r in batch:
-            if found.first(r["key"]) is None:
-                found.add(r["key"])
-                opened.append(r["first"])
-        rounds.append(f"{base}/{len(rounds)}")
-        todo.mapInPandas(_joined(found.keys, opened, threshold), schema).write.parquet(rounds[-1])
-        todo = spark.read.schema(schema).parquet(rounds[-1]).where("cluster IS NULL")
-        if len(batch) < BATCH:
-            break
-    if not rounds:
+    keys = written(numbered(names.groupBy("key").agg(F.min("name").alias("first")), ["first"], "id"), "name-keys")
+    total, start, size = keys.count(), 0, BATCH
+    openers, found = [], []
+    schema = "id long, cluster long"
+    at = lambda frames: spark.read.schema(frames[0].schema).parquet(*[f.written_to for f in frames])
+    while start < total:
+        batch = keys.where((F.col("id") >= start) & (F.col("id") < start + size)).select("id", "key")
+        if openers:
+            covered = similar_pairs(batch, at(openers), threshold)
+            found.append(written(covered.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("cluster")), "name-found"))
+            forget(covered)
+            batch = written(batch.join(found[-1].select("id").hint("merge"), "id", "left_anti"), "name-batch")
+        edges = similar_pairs(batch, None, threshold)
+        joined = not_independent(edges)
+        new = written(batch.join(joined.hint("merge"), "id", "left_anti"), "name-openers")
+        openers.append(new)
+        found.append(written(new.select("id", F.col("id").alias("cluster")), "name-found"))
+        links = edges.join(new.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").join(joined.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi")
+        found.append(written(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("cluster")), "name-found"))
+        forget(edges, joined)
+        start, size = start + size, max(size, start + size)
+    if not found:
         return names.select("name", F.col("name").alias("canonical"))
-    of = spark.read.schema(schema).parquet(*rounds).where("cluster IS NOT NULL").select("key", "cluster")
-    members = written(names.join(of, "key").select("name", "n", "cluster"), "name-members")
+    of = keys.select("id", "key").join(spark.read.schema(schema).parquet(*[f.written_to for f in found]).hint("merge"), "id").select("key", "cluster")
+    members = written(names.join(of.hint("merge"), "key").select("name", "n", "cluster"), "name-members")
     best = written(members.groupBy("cluster").agg(F.min_by("name", F.struct(-F.col("n"), -F.length("name"), "name")).alias("canonical")), "name-canonical")
     small = best.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    forget(names, keys, *openers, *found)
     return members.join(F.broadcast(best) if small else best, "cluster").select("name", "canonical")
 
 
-def _joined(keys: list[str], opened: list[str], threshold: float):
-    """Sets cluster of the keys that resemble an opener; opened: the openers' names."""
-
-    def run(frames):
-        openers = _Openers(threshold, keys)
-        for pdf in frames:
-            at = [openers.first(k) for k in pdf["key"]]
-            yield pdf.assign(cluster=[None if i is None else opened[i] for i in at])
-
-    return run
-
-
 def resolve_names(df: DataFrame, column: str, threshold: float = 80.0) -> DataFrame:
     """df with each name replaced by its cluster's."""
     m = name_clusters(df, column, threshold).select(F.trim("name").alias("original"), F.col("canonical").alias("clean")).dropDuplicates(["original"])
