@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import counted, forget, scratch_path, shared_dir, written
 
-__all__ = ["counted", "forget", "join_groups", "let", "partitions", "scratch_path", "shared_dir", "slices", "table", "together", "written"]
+__all__ = ["counted", "forget", "join_groups", "let", "partitions", "scratch_path", "settle", "shared_dir", "slices", "table", "together", "written"]
 
 #: No more groups than this are ever broadcast by `join_groups`.
 HEAVY_GROUPS = 10_000
@@ -25,6 +26,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def settle(spark: SparkSession) -> None:
+    """Collects garbage of the driver's Python, then of its JVM. Spark's cleaner drops shuffles, broadcasts and plans only when
+    their last reference is collected; a loop of many small jobs makes more of these than heap pressure ever sees."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def together(frames: list[DataFrame]) -> DataFrame:
     """All rows of written frames of one schema in one scan. A union has a scan for each, and Spark pushes semi-joins into all
     of them, so in a loop plans, and what the driver keeps of them, would grow with every turn."""
