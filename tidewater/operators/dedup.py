@@ -114,7 +114,8 @@ class Engine:
         first = written(rows.groupBy("profile").agg(F.min("_rid").alias("pid"), *[F.first(k).alias(k) for k in keys]), "dedup-profiles")
         copies = rows.select("_rid", "profile").join(first.select("profile", "pid").hint("merge"), "profile").where("_rid != pid").select(F.col("pid").alias("a"), F.col("_rid").alias("b"))
         kinds = ("gov", "email", "phone") if self.tiers.name else ("gov",)
-        ids = F.concat(*[F.transform(F.filter(F.col(k), lambda x: x != ""), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k in kinds])
+        tagged = lambda k: F.transform(F.filter(F.col(k), lambda x: x != ""), lambda x: F.concat(F.lit(f"{k}:"), x))
+        ids = F.concat(*map(tagged, kinds))
         # rows without a name link to nothing, if there are names at all
         named = first.where("name IS NOT NULL") if self.tiers.name else first
         values = F.concat(F.col("gov"), F.col("email"), F.col("phone"))
@@ -270,12 +271,21 @@ def enrich(clustered: DataFrame, t: Tiers) -> DataFrame:
 
 
 def cluster_report(clustered: DataFrame, name: str | None = None) -> DataFrame:
-    """cluster, cluster_size, canonical_name, row_numbers of clusters of more than one row."""
+    """cluster, cluster_size, canonical_name, first_row, last_row of clusters of more than one row; cluster_rows() has the rows."""
     named = F.min_by(q(name), F.when(X.is_valid(q(name)), F.col("_rid"))) if name else F.lit(None).cast("string")
-    out = clustered.groupBy("_cid").agg(F.count("*").alias("cluster_size"), named.alias("canonical_name"), F.array_sort(F.collect_list("_rid")).alias("row_numbers"))
+    out = clustered.groupBy("_cid").agg(F.count("*").alias("cluster_size"), named.alias("canonical_name"), F.min("_rid").alias("first_row"), F.max("_rid").alias("last_row"))
     return out.where("cluster_size > 1").withColumnRenamed("_cid", "cluster")
 
 
+def cluster_rows(clustered: DataFrame) -> DataFrame:
+    """cluster, place (from 1), row_number: a row for each row of clusters of more than one. Places are counted over all rows in
+    ranges of the order, so a cluster that holds most of a table is no one task's."""
+    sizes = clustered.groupBy("_cid").agg(F.count("*").alias("n"), F.min("_rid").alias("_first")).where("n > 1")
+    rows = numbered(clustered.select("_cid", "_rid").join(sizes.select("_cid"), "_cid"), ["_cid", "_rid"], "_at")
+    starts = rows.groupBy("_cid").agg(F.min("_at").alias("_from"))
+    return rows.join(starts, "_cid").select(F.col("_cid").alias("cluster"), (F.col("_at") - F.col("_from") + 1).alias("place"), F.col("_rid").alias("row_number"))
+
+
 def changes(clustered: DataFrame, t: Tiers, links: DataFrame | None = None) -> DataFrame:
     """cluster, original, corrected, cluster_size, variants (distinct names) of clusters of more than one row: the first name
     that is not the golden one (else the first name), and the golden name. With judged links, reasons: links by reason."""

@@ -105,7 +105,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, le
     Frames have id (long), key (string) and, if wanted, by (string); without by all rows meet. Without right, left meets itself,
     and a < b. Ids differ within a frame and a `by`. Exact for every threshold above 0: nothing is dropped. Empty keys resemble
     nothing; null keys are left out. The join is a plain equi-join that Spark splits where it is skewed; a pair that meets in
-    several ways is compared at the first of them only.
+    several ways is compared at the first of its level only.
     """
     one = lambda df: df.where("key IS NOT NULL").select((F.col("by") if "by" in df.columns else F.lit("")).alias("by"), F.col("id").cast("long").alias("id"), "key")
     rows = one(left)
@@ -118,7 +118,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float, le
     if right is None:
         both = both.where("a_id < b_id")
     m, n = F.length("a_key"), F.length("b_key")
-    near = (200.0 * F.least(m, n) >= threshold * (m + n) - 1e-9) & (F.slice(F.array_intersect("a_begin", "b_begin"), 1, F.size("sign")) == F.col("sign"))
+    need = F.greatest(F.lit(1), F.ceil(threshold * (m + n) / 200 - 1e-9))
+    near = (need <= F.least(m, n)) & (F.size("sign") == F.least(F.lit(level), need)) & (F.slice(F.array_intersect("a_begin", "b_begin"), 1, F.size("sign")) == F.col("sign"))
     found = both.where(near).select("by", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_key", "b_key")
     found = found.withColumn("ratio", fuzzy.ratio_udf("a_key", "b_key")).where(F.col("ratio") >= threshold).select("by", "a", "b", "ratio")
     out = written(found, "similar")

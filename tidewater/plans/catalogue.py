@@ -14,7 +14,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import audit, classify, currency, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
 from ..operators.shared import numbered, q
-from . import console, pipeline
+from . import console, core_sql, pipeline
 from .planner import plan
 from .testbed import TABLES, frame, with_tables
 
@@ -27,6 +27,9 @@ def _add(name: str, run: Query, sql: str | None = None, *tables: str) -> None:
     _queries[name] = run
     if sql is not None:
         used = [t for t in TABLES if t in tables]
+        if used and sql.lstrip().upper().startswith("WITH RECURSIVE "):
+            _sql[name] = with_tables(*used).replace("WITH ", "WITH RECURSIVE ", 1) + ", " + sql.lstrip()[15:]
+            return
         _sql[name] = (with_tables(*used) + (", " if sql.lstrip().upper().startswith("WITH ") else " ") + (sql.lstrip()[5:] if sql.lstrip().upper().startswith("WITH ") else sql)) if used else sql
 
 
@@ -302,7 +305,7 @@ _umlauts = lambda df: df.select("record_id", F.when(F.col("record_id") % 2 == 0,
 _add("translated_categories", _on("people", lambda df: mapping.apply_map(_umlauts(df), "segment", mapping.categorical_map(_umlauts(df), "segment", _spelled))),
      f"SELECT record_id, CASE WHEN regexp_matches(n, '[^\\x00-\\x7F]') THEN upper(replace(replace(trim(n), 'Ü', 'UE'), 'ü', 'ue')) ELSE {_TITLE.format('lower(trim(n))')} END AS segment FROM (SELECT record_id, CASE WHEN record_id % 2 = 0 THEN translate(segment, 'Uu', 'Üü') ELSE segment END AS n FROM people)", "people")
 _add("standardize_case_typos", _on("sales", lambda df: mapping.standardize_case(df.select("o_orderkey", "urgency"), "urgency")), "SELECT o_orderkey, CASE WHEN urgency IN ('urgnt', 'Urgent ') THEN 'Urgent' ELSE 'High' END AS urgency FROM sales", "sales")
-_add("name_clusters", _on("people", lambda df: mapping.name_clusters(df, "full_name")))
+_add("name_clusters", _on("people", lambda df: mapping.name_clusters(df, "full_name")), core_sql.name_clusters(), "people")
 _pairs = lambda df: df.where("full_name IS NOT NULL").select("record_id", F.lower(F.trim("full_name")).alias("a"), F.reverse(F.lower(F.trim("full_name"))).alias("b"))
 _lcs = """list_reduce(list_concat([list_transform(string_split(b, ''), lambda x: 0)], list_transform(string_split(a, ''), lambda c: list_transform(string_split(b, ''), lambda d: CASE WHEN c = d THEN 1 ELSE 0 END))),
   lambda row, hit: list_reduce(list_concat([[0, 0]], list_transform(range(1, len(hit) + 1), lambda j: [hit[j], row[j], CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END])), lambda acc, h: list_append(acc, CASE WHEN h[1] = 1 THEN h[3] + 1 ELSE greatest(h[2], acc[len(acc)]) END))[3:])"""
@@ -322,7 +325,16 @@ _filled = _nn(_people)
 _add("dedup_gov_id", _on("people", lambda df: dedup.star_pairs(_base(df), ["pan"])),
      f"WITH k AS (SELECT row_number() OVER (ORDER BY record_id) - 1 AS rid, {_KEY.format('pan')} AS k, {_filled} AS c FROM people), f AS (SELECT *, first_value(rid) OVER (PARTITION BY k ORDER BY c DESC, rid) AS a FROM k WHERE k <> '') SELECT a AS rid_a, rid AS rid_b FROM f WHERE rid <> a", "people")
 _tiers = lambda df: classify.tiers(df.columns)
-_add("dedup_rules_decision", _on("people", lambda df: dedup.Engine(_tiers(df)).links(_base(df)).groupBy("decision", "link", "reason").agg(F.count("*").alias("n"))))
+_next_rows = lambda df: _base(df).where("_rid > 0").select((F.col("_rid") - 1).alias("rid_a"), F.col("_rid").alias("rid_b"))
+_facts_sql, _next_sql = core_sql.facts(_KEY, _phone), core_sql.judged(core_sql.NEXT)
+_judged = lambda df: dedup.Engine(_tiers(df)).judged(dedup.Engine(_tiers(df)).facts(_base(df)), _next_rows(df))
+# each row with the next: copies of a customer, and strangers
+_add("dedup_rules_decision", _on("people", lambda df: _judged(df).groupBy("decision", "link", "reason").agg(F.count("*").alias("n"))), f"WITH RECURSIVE {_facts_sql}, {_next_sql} SELECT decision, link, reason, count(*) AS n FROM j GROUP BY 1, 2, 3", "people")
+_add("dedup_pair_rules", _on("people", lambda df: _rounded(_judged(df), ["similarity"])), f"WITH RECURSIVE {_facts_sql}, {_next_sql} SELECT rid_a, rid_b, round(similarity, 6) AS similarity, decision, link, reason FROM j", "people")
+_add("name_similarity_pairs", _on("people", lambda df: _pairs(df).select("a", F.concat(F.element_at(F.split("a", " "), -1), F.lit(" "), F.substring("a", 1, 9)).alias("b")).distinct().select("a", "b", F.round(fuzzy.name_udf("a", "b"), 6).alias("similarity"), F.round(fuzzy.token_set_udf("a", "b"), 6).alias("token_set"), F.round(fuzzy.partial_udf("a", "b"), 6).alias("partial"))),
+     f"""WITH need AS MATERIALIZED (SELECT DISTINCT a AS na, list_last(string_split(a, ' ')) || ' ' || substr(a, 1, 9) AS nb FROM (SELECT lower(trim(full_name)) AS a FROM people WHERE full_name IS NOT NULL)), {core_sql.similarities('need')}
+    SELECT s.na AS a, s.nb AS b, round(s.similarity, 6) AS similarity, round(CASE WHEN s.na = s.nb OR com <> '' AND (oa = '' OR ob = '') THEN 100 WHEN com <> '' THEN greatest(b.r, c.r, d.r) ELSE b.r END, 6) AS token_set, round(coalesce(part.r, 100), 6) AS partial
+    FROM sim s LEFT JOIN t ON t.na = s.na AND t.nb = s.nb LEFT JOIN part ON part.na = s.na AND part.nb = s.nb LEFT JOIN ratios b ON b.x = fa AND b.y = fb LEFT JOIN ratios c ON c.x = com AND c.y = fa LEFT JOIN ratios d ON d.x = com AND d.y = fb""", "people")
 _tree = lambda s, d: frame(s, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") - F.col("o_orderkey") % 4).alias("b"))
 _add("connected_components", lambda s, d: graph.components(_tree(s, d)),
      "SELECT DISTINCT node, min(node) OVER (PARTITION BY g) AS label FROM (SELECT o_orderkey AS node, o_orderkey - o_orderkey % 4 AS g FROM orders UNION SELECT o_orderkey - o_orderkey % 4, o_orderkey - o_orderkey % 4 FROM orders WHERE o_orderkey % 4 <> 0) QUALIFY count(*) OVER (PARTITION BY g) > 1")
@@ -362,8 +374,25 @@ _add("enrich_all_rows", _on("people", lambda df: dedup.enrich(_clustered(df), _t
 _add("health_clusters_type12", _on("people", lambda df: dedup.health_clusters(_clustered(df), _tiers(df)).groupBy("kind").agg(F.count("*").alias("n"))),
      "WITH " + _c + ", k AS (SELECT cid, count(DISTINCT (" + ", ".join(f"coalesce({_PROFILE.format(x)}, '')" for x in _dup_cols) + f")) = 1 AS e, count(DISTINCT nullif({_KEY.format('email')}, '')) > 1 OR count(DISTINCT nullif({_KEY.format('phone')}, '')) > 1 AS d, count(*) AS n FROM c GROUP BY cid) SELECT CASE WHEN e THEN 'exact' WHEN d THEN 'contacts differ' ELSE 'contacts agree' END AS kind, count(*) AS n FROM k WHERE n > 1 GROUP BY 1", "people")
 _add("low_quality_rows", _on("people", lambda df: dedup.low_quality(df, classify.Tiers(gov=("pan",), phone=("phone",))).select("record_id")), f"SELECT record_id FROM people WHERE {_KEY.format('pan')} = '' AND {_KEY.format('phone')} = ''", "people")
-_add("deduplicate_people", _on("people", lambda df: dedup.deduplicate(df, ["record_id"])[0]))
-_add("cluster_report", _on("people", lambda df: dedup.deduplicate(df, ["record_id"])[1]))
+_core = f"WITH RECURSIVE {_facts_sql}, {core_sql.judged(core_sql.SHARED)}, {core_sql.clusters(_people)}"
+_engine_clusters = lambda df: dedup.Engine(_tiers(df)).clusters(_base(df))
+_add("people_clusters", _on("people", lambda df: _engine_clusters(df).select("record_id", "_cid")), f"{_core} SELECT record_id, cid AS _cid FROM c", "people")
+_first_known = lambda c: f"coalesce((arg_min(struct_pack(v := {c}), struct_pack(g := gaps, r := rid))).v, arg_min({c}, rid) FILTER ({c} IS NOT NULL)) AS {c}"
+_contacts = f"""e AS (SELECT cid, string_agg(x, ', ' ORDER BY r) AS email FROM (SELECT cid, arg_min(email, rid) AS x, min(rid) AS r FROM c WHERE {_KEY.format('email')} <> '' GROUP BY cid, {_KEY.format('email')}) GROUP BY cid),
+    h AS (SELECT cid, string_agg(x, ', ' ORDER BY r) AS phone FROM (SELECT cid, arg_min(phone, rid) AS x, min(rid) AS r FROM c WHERE length({_phone}) >= 7 GROUP BY cid, {_phone}) GROUP BY cid)"""
+_add("deduplicate_people", _on("people", lambda df: _rounded(dedup.deduplicate(df, ["record_id"])[0], ["age"])),
+     f"""{_core}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, {_first_known('record_id')}, {_first_known('salary')}, round(median(age), 6)::DOUBLE AS age FROM c GROUP BY cid), {_contacts}
+    SELECT record_id, full_name, email, phone, {', '.join(_rest)}, age, salary FROM g LEFT JOIN e ON g.cid = e.cid LEFT JOIN h ON g.cid = h.cid""", "people")
+_add("cluster_report", _on("people", lambda df: dedup.deduplicate(df, ["record_id"])[1]), f"{_core} SELECT cid AS cluster, count(*) AS cluster_size, arg_min(full_name, rid) FILTER ({_KEY.format('full_name')} <> '') AS canonical_name, min(rid) AS first_row, max(rid) AS last_row FROM c GROUP BY cid HAVING count(*) > 1", "people")
+_add("cluster_rows", _on("people", lambda df: dedup.cluster_rows(_engine_clusters(df))), f"{_core} SELECT cid AS cluster, row_number() OVER (PARTITION BY cid ORDER BY rid) AS place, rid AS row_number FROM c QUALIFY count(*) OVER (PARTITION BY cid) > 1", "people")
+_add("enrich_people", _on("people", lambda df: dedup.enrich(_engine_clusters(df), _tiers(df)).drop("_rid", "_cid")),
+     f"""{_core}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, count(*) AS k FROM c GROUP BY cid), {_contacts},
+    a AS (SELECT g.cid, {', '.join(f'CASE WHEN k > 1 THEN g.{x} END AS g_{x}' for x in ['full_name', *_rest])}, CASE WHEN k > 1 THEN e.email END AS g_email, CASE WHEN k > 1 THEN h.phone END AS g_phone FROM g LEFT JOIN e ON g.cid = e.cid LEFT JOIN h ON g.cid = h.cid)
+    SELECT record_id, coalesce(g_full_name, full_name) AS full_name, {', '.join(f"CASE WHEN {_KEY.format(x)} <> '' THEN {x} ELSE coalesce(g_{x}, {x}) END AS {x}" for x in ['email', 'phone', *_rest])}, age, salary FROM c JOIN a ON c.cid = a.cid""", "people")
+_add("people_changes", _on("people", lambda df: dedup.changes(_engine_clusters(df), _tiers(df))),
+     f"""{_core}, n2 AS (SELECT cid, full_name, rid, CASE WHEN full_name IS NULL THEN 1 ELSE 0 END AS gaps FROM c),
+    g AS (SELECT cid, {_gold('full_name')}, count(*) AS k FROM n2 GROUP BY cid HAVING count(*) > 1), r AS (SELECT n2.cid, n2.rid, n2.full_name, g.full_name AS corrected, k FROM n2 JOIN g ON n2.cid = g.cid)
+    SELECT cid AS cluster, coalesce(arg_min(full_name, rid) FILTER ({_key('full_name')} <> {_key('corrected')}), arg_min(full_name, rid)) AS original, corrected, k AS cluster_size, count(DISTINCT full_name) AS variants FROM r GROUP BY cid, corrected, k""", "people")
 
 # ---- console, run ---------------------------------------------------------------------------------------------------
 
