@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ImputationRule
 from ..functions import constants as K
 from ..functions import text as X
+from .neighbours import knn
 from .rules import condition, replace
 from .shared import carried, numbers, q, quantiles, stats_row, strings
 
@@ -40,15 +37,20 @@ def statistics(df: DataFrame, plan: dict[str, str]) -> dict[str, object]:
     return stats_row(df, items) | {c: v[0] if v else None for c, v in middle.items()}
 
 
-def apply_statistical(df: DataFrame, plan: dict[str, str], order: list[str] | None = None, constant: str = "Unknown", guard: bool = True) -> tuple[DataFrame, dict[str, object]]:
+def apply_statistical(df: DataFrame, plan: dict[str, str], order: list[str] | None = None, constant: str = "Unknown", guard: bool = True, near: list[str] | None = None) -> tuple[DataFrame, dict[str, object]]:
     """Fills gaps by a strategy for each column; returns the frame and the values that were used.
 
-    Strategies: fill_none (null words to null), fill_mean, fill_median, fill_mode, fill_knn (as median; knn() is the real
-    one), fill_forward, fill_backward, fill_interpolate (by `order`), fill_constant, leave_empty. guard: sensitive columns get
+    Strategies: fill_none (null words to null), fill_mean, fill_median, fill_mode, fill_knn (median of a single column; with `near`,
+    the numeric columns that tell rows apart, by knn()), fill_forward, fill_backward, fill_interpolate (by `order`), fill_constant, leave_empty. guard: sensitive columns get
     fill_none whatever their strategy.
     """
     plan = {c: "fill_none" if guard and s != "leave_empty" and sensitive(c) else s for c, s in plan.items() if c in df.columns}
     df = gaps(df, [c for c, s in plan.items() if s != "leave_empty"])
+    by_rows = [c for c, s in plan.items() if s == "fill_knn" and near and c in numbers(df)]
+    if by_rows:
+        whole = knn(df.withColumns({f"_knn_{c}": q(c) for c in near if c not in by_rows}), [*by_rows, *(f"_knn_{c}" for c in near if c not in by_rows)])
+        df = whole.select(*[q(c) for c in df.columns])
+        plan = {c: "leave_empty" if c in by_rows else s for c, s in plan.items()}
     values = {c: v for c, v in statistics(df, plan).items() if v is not None}
     new: dict[str, Column] = {c: F.coalesce(q(c), F.lit(v).cast(df.schema[c].dataType if plan[c] == "fill_mode" else "double")) for c, v in values.items()}
     new |= {c: F.coalesce(q(c).cast("string"), F.lit(constant)) for c, s in plan.items() if s == "fill_constant"}
@@ -87,34 +89,12 @@ def apply_rules(df: DataFrame, rules: list[ImputationRule]) -> DataFrame:
     return df
 
 
-def knn(df: DataFrame, columns: list[str], reference_rows: int = 2_000, k: int = 5, key: str = "_rid") -> DataFrame:
-    """Gaps of numeric columns from the k nearest of a bounded, documented sample of complete rows (those with the lowest
-    hash of the key), by distance over the columns both have; every row is filled. Columns that no neighbour can fill keep
-    their gaps."""
-    sample = df.dropna(subset=columns).orderBy(F.xxhash64(q(key)), q(key)).limit(reference_rows).select(*[q(c).cast("double") for c in columns]).toPandas().to_numpy(float)
-    if not len(sample):
-        return df
-    scale = np.maximum(sample.std(0), 1e-12)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            x = pdf[columns].to_numpy(float)
-            for i in np.flatnonzero(np.isnan(x).any(1)):
-                have = ~np.isnan(x[i])
-                if have.any():
-                    d = (((sample[:, have] - x[i, have]) / scale[have]) ** 2).mean(1)
-                    near = np.argsort(d, kind="stable")[:k]
-                    x[i, ~have] = sample[near][:, ~have].mean(0)
-            pdf[columns] = x
-            yield pdf
-
-    cast = replace(df, {c: q(c).cast("double") for c in columns})
-    return cast.mapInPandas(run, cast.schema)
-
-
 def fill_audit(before: DataFrame, plan: dict[str, str], values: dict[str, object]) -> DataFrame:
     """column, strategy, fill_value, rows_filled, missing_pct of a statistical fill."""
     s = stats_row(gaps(before), {"n": F.count("*"), **{f"c {c}": F.count_if(q(c).isNull()) for c in plan}})
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     rows = [(c, p, show(values.get(c)), s[f"c {c}"] if p not in ("leave_empty", "fill_none") else 0, round(100.0 * s[f"c {c}"] / s["n"], 2) if s["n"] else 0.0) for c, p in plan.items()]
     return before.sparkSession.createDataFrame(rows, "column string, strategy string, fill_value string, rows_filled long, missing_pct double")
+
+
+__all__ = ["apply_rules", "apply_statistical", "fill", "fill_audit", "gaps", "knn", "sensitive", "statistics"]

@@ -213,6 +213,15 @@ _add(
       WINDOW a AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT o_orderkey, round(coalesce(v, CASE WHEN ni > pi THEN pv + (nv - pv) * (i - pi) / (ni - pi) END, pv, nv), 6) AS gap_amount FROM w""", "sales",
 )
+_gappy = "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey % 200 = 3 THEN NULL ELSE round(quantity) END AS DOUBLE) AS quantity, CAST(CASE WHEN l_orderkey % 320 IN (5, 163) THEN NULL ELSE floor(price / 100) END AS DOUBLE) AS price, CAST(CASE WHEN l_orderkey % 300 IN (1, 3) THEN NULL ELSE round(tax_rate * 100) END AS DOUBLE) AS tax FROM {0}"
+_near = ["quantity", "price", "tax"]
+_apart = " + ".join(f"CASE WHEN g.{c} IS NULL OR u.{c} IS NULL THEN 0 ELSE (g.{c} - u.{c}) * (g.{c} - u.{c}) END" for c in _near)
+_common = " + ".join(f"CASE WHEN g.{c} IS NULL OR u.{c} IS NULL THEN 0 ELSE 1 END" for c in _near)
+_nearest = ", ".join(f"n_{f} AS (SELECT r, list_avg(list_transform(min(struct_pack(d := ({_apart}) * 3 / ({_common}), x := u.{f}), 5), lambda s: s.x)) AS x FROM g JOIN u ON u.{f} IS NOT NULL AND ({_common}) > 0 WHERE g.{f} IS NULL GROUP BY r)" for f in _near)
+_filled = ", ".join(f"round(coalesce(u.{f}, n_{f}.x, (SELECT avg({f}) FROM u)), 6) AS {f}" for f in _near)
+_add("knn_impute", _on("measures", lambda df: _rounded(impute.knn(df.sparkSession.sql(_gappy.format("{m}"), m=df), _near), _near)),
+     f"""WITH u AS MATERIALIZED ({_gappy.format('measures')}), g AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT {', '.join(_near)} FROM u WHERE {' OR '.join(f'{c} IS NULL' for c in _near)})), {_nearest}
+    SELECT l_orderkey, l_linenumber, {_filled} FROM u LEFT JOIN g ON {' AND '.join(f'u.{c} IS NOT DISTINCT FROM g.{c}' for c in _near)} {' '.join(f'LEFT JOIN n_{f} ON n_{f}.r = g.r' for f in _near)}""", "measures")
 _rules = [ImputationRule("priority", "customer_type == 'B2B'", "Medium", 90), ImputationRule("priority", "total_amount > 200000", "1-URGENT", 60), ImputationRule("priority", "order_status != 'open'", "Low", 40)]
 _add("smart_rules", _on("sales", lambda df: impute.apply_rules(df.select("o_orderkey", "customer_type", "total_amount", "order_status", "priority"), _rules)),
      "SELECT o_orderkey, customer_type, total_amount, order_status, CASE WHEN priority IS NOT NULL THEN priority WHEN lower(trim(customer_type)) = 'b2b' THEN 'Medium' WHEN total_amount > 200000 THEN '1-URGENT' WHEN lower(trim(order_status)) <> 'open' THEN 'Low' END AS priority FROM sales", "sales")
