@@ -13,6 +13,7 @@ from ..config import ColumnSchema, Config
 from ..functions import constants as K
 from ..functions import text as X
 from .impute import sensitive
+from .rules import RULE_COLUMNS
 from .shared import numbers, q, rows_frame, stats_row, strings
 
 
@@ -110,11 +111,21 @@ def semantic_types(df: DataFrame, order: list[str]) -> DataFrame:
     return rows_frame(df.sparkSession, rows, "column string, semantic_type string, confidence double, imputation string")
 
 
+def domain_words() -> dict[str, list[str]]:
+    """The default vocabulary, by rule: for each domain that data can be about, the words of its name and the words of column
+    names that its rules act on. Domains without rules are known by their names alone."""
+    out = {}
+    for domain in K.SUB_INTENT:
+        if domain != "Generic":
+            name = domain.lower().replace("-", "_").replace(" ", "_")
+            out[domain] = sorted({name, *RULE_COLUMNS.get(domain, ())})
+    return out
+
+
 def domain_scores(df: DataFrame, order: list[str], words: dict[str, list[str]] | None = None) -> DataFrame:
     """domain, score: 1 for each column whose name has one of the domain's words, 0.5 for each of the first 20 values of a
-    string column that has one. words: another vocabulary, a list of words
-    for each domain."""
-    vocabulary = words or K.DOMAIN_WORDS
+    string column that has one. words: a vocabulary, a list of words for each domain; by default domain_words()."""
+    vocabulary = words or domain_words()
     names = [c.lower().replace(" ", "_") for c in df.columns]
     head = df.orderBy(*[q(c) for c in order]).select(*[F.lower(q(c)).alias(c) for c in strings(df)]).limit(20).collect() if strings(df) else []
     values = [v for r in head for v in r if v is not None]

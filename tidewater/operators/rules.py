@@ -58,6 +58,14 @@ def _numeric(df: DataFrame, *names: str) -> str | None:
     return c if c in numbers(df) else None
 
 
+#: Words of column names that domains' rules act on.
+RULE_COLUMNS = {
+    "Retail": ("priority", "customer_type"), "Finance": ("amount", "balance", "revenue", "profit", "payment_status", "transaction_status"), "Healthcare": ("age", "bmi", "blood_pressure", "systolic"),
+    "HR": ("salary",), "E-Commerce": ("price", "mrp", "rating"), "Logistics": ("delivery_status", "tracking_id", "tracking_number"), "Manufacturing": ("yield", "quantity", "production", "output"),
+    "Agriculture": ("yield", "production", "area", "acreage"), "Education": ("gpa", "marks", "score", "grade_points"), "Telecommunications": ("data_usage", "call_duration", "minutes"),
+}
+
+
 def retail(df: DataFrame) -> DataFrame:
     priority, kind = find(df, "priority"), find(df, "customer_type")
     if not priority or not kind:
@@ -101,15 +109,15 @@ def logistics(df: DataFrame) -> DataFrame:
 
 
 def manufacturing(df: DataFrame) -> DataFrame:
-    return _bounded(df, ("yield", "quantity", "production", "output"), 0)
+    return _bounded(df, RULE_COLUMNS["Manufacturing"], 0)
 
 
 def agriculture(df: DataFrame) -> DataFrame:
-    return _bounded(df, ("yield", "production", "area", "acreage"), 0)
+    return _bounded(df, RULE_COLUMNS["Agriculture"], 0)
 
 
 def telecommunications(df: DataFrame) -> DataFrame:
-    return _bounded(df, ("data_usage", "call_duration", "minutes"), 0)
+    return _bounded(df, RULE_COLUMNS["Telecommunications"], 0)
 
 
 def education(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions import fuzzy
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import audit, classify, currency, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
+from ..operators import audit, classify, currency, dates, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
 from ..operators.shared import numbered, q
 from . import console, core_sql, pipeline
 from .planner import plan
@@ -151,6 +151,15 @@ _scalar("coerce_numeric_abs", "sales", "o_orderkey", "cost", lambda c: N.coerce_
 _scalar("fix_boolean", "people", "record_id", "flag", X.fix_boolean, "active", "CASE WHEN lower(trim(active)) IN ('yes', 'y', 'true', '1', 't', 'on') THEN true WHEN lower(trim(active)) IN ('no', 'n', 'false', '0', 'f', 'off') THEN false END")
 _date = "CASE WHEN regexp_matches(date_text, '^\\d{4}[-/]\\d{2}[-/]\\d{2}') THEN replace(left(date_text, 10), '/', '-') END"
 _scalar("parse_dates_iso", "sales", "o_orderkey", "iso", N.iso_date, "date_text", _date)
+# dates whose order of day and month only the whole column tells: by customer, one column each way
+_dated = "SELECT o_orderkey, {fmt}(order_date, '{d}') AS day_first, {fmt}(order_date, '{m}') AS month_first, CASE WHEN o_orderkey % 5 = 0 THEN 'soon' ELSE {fmt}(delivery_date, '{x}') END AS dotted FROM {t}"
+_dated_spark, _dated_sql = _dated.format(fmt="date_format", d="dd/MM/yyyy", m="MM-dd-yyyy", x="d.M.yyyy", t="{t}"), _dated.format(fmt="strftime", d="%d/%m/%Y", m="%m-%d-%Y", x="%-d.%-m.%Y", t="sales")
+_dates_of = lambda df: df.sparkSession.sql(_dated_spark, t=df)
+_date_columns = ["day_first", "month_first", "dotted"]
+_vote = lambda c, g: f"TRY_CAST(regexp_extract({c}, '^(\\d{{1,2}})([/.-])(\\d{{1,2}})[/.-](\\d{{4}})$', {g}) AS INT)"
+_add("date_format_votes", _on("sales", lambda df: dates.votes(_dates_of(df), _date_columns)),
+     f"WITH d AS ({_dated_sql}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", s AS separator, count(*) AS n, count(*) FILTER (a > 12 AND b <= 12) AS day_first, count(*) FILTER (b > 12 AND a <= 12) AS month_first FROM (SELECT regexp_extract({c}, '^(\\d{{1,2}})([/.-])(\\d{{1,2}})[/.-](\\d{{4}})$', 2) AS s, {_vote(c, 1)} AS a, {_vote(c, 3)} AS b FROM d) WHERE s <> '' GROUP BY s" for c in _date_columns), "sales")
+_add("parse_dates_by_column", _on("sales", lambda df: dates.parse(_dates_of(df), _date_columns)), "SELECT o_orderkey, CAST(order_date AS VARCHAR) AS day_first, CAST(order_date AS VARCHAR) AS month_first, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(delivery_date AS VARCHAR) END AS dotted FROM sales", "sales")
 _map = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in K.CURRENCY_OF.items()) + "}"
 _rates = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in K.RUPEES.items()) + "}"
 _money_re = K.MONEY.replace("'", "''")
@@ -277,10 +286,12 @@ _values = lambda names, rows: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join
 _semantic = [("record_id", "ID_Code", 0.90, "fill_none"), ("full_name", "Name", 0.95, "fill_none"), ("email", "Email", 0.95, "fill_none"), ("phone", "Phone", 0.95, "fill_none"), ("city", "Location", 0.90, "fill_none"),
              ("pan", "Structured_ID", 0.92, "fill_none"), ("age", "Numeric", 0.85, "fill_median"), ("salary", "Numeric", 0.85, "fill_none"), ("segment", "Categorical", 0.80, "fill_mode"), ("active", "Categorical", 0.80, "fill_mode"), ("mostly_empty", "Categorical", 0.80, "fill_mode")]
 _add("semantic_types", _on("people", lambda df: classify.semantic_types(df, ["record_id"])), _values('"column", semantic_type, confidence, imputation', [(f"'{a}'", f"'{b}'", f"{c}::DOUBLE", f"'{i}'") for a, b, c, i in _semantic]), "people")
-_add("cleaning_plan", _on("people", lambda df: df.sparkSession.createDataFrame([(c, s.imputation, s.normalization, s.deduplication) for c, s in plan(classify.infer_schema(df, ["record_id"])).items()], "column string, imputation string, normalization string, deduplication string")))
+_normal = {"ID_Code": ("uppercase_strip", "none"), "Name": ("title_case", "fuzzy_name"), "Email": ("normalize_email", "none"), "Phone": ("normalize_phone", "none"), "Location": ("title_case", "blocking_key"), "Structured_ID": ("uppercase_strip", "none"), "Numeric": ("coerce_numeric", "none"), "Categorical": ("standardize_case", "none")}
+_add("cleaning_plan", _on("people", lambda df: df.sparkSession.createDataFrame([(c, s.imputation, s.normalization, s.deduplication) for c, s in plan(classify.infer_schema(df, ["record_id"])).items()], "column string, imputation string, normalization string, deduplication string")),
+     _values('"column", imputation, normalization, deduplication', [(f"'{a}'", f"'{i}'", *(f"'{x}'" for x in _normal[b])) for a, b, c, i in _semantic]), "people")
 _sales_cols = ["o_orderkey", "o_custkey", "total_amount", "gap_amount", *_sales_text, "order_date", "delivery_date"]
 _domains = f"""WITH names AS (SELECT unnest({_sales_cols}) AS c), head AS (SELECT * FROM sales ORDER BY o_orderkey LIMIT 20), vals AS ({' UNION ALL '.join(f'SELECT lower({c}) AS v FROM head' for c in _sales_text)}),
-    words AS ({' UNION ALL '.join(f"SELECT '{d}' AS domain, unnest({w}) AS w" for d, w in K.DOMAIN_WORDS.items())}), n AS (SELECT DISTINCT domain, c FROM words, names WHERE contains(c, w)), v AS (SELECT domain, count(*) AS k FROM (SELECT domain, v, bool_or(contains(v, w)) AS hit FROM words, (SELECT v, row_number() OVER () AS i FROM vals WHERE v IS NOT NULL) GROUP BY domain, v, i) WHERE hit GROUP BY domain)
+    words AS ({' UNION ALL '.join(f"SELECT '{d}' AS domain, unnest({w}) AS w" for d, w in classify.domain_words().items())}), n AS (SELECT DISTINCT domain, c FROM words, names WHERE contains(c, w)), v AS (SELECT domain, count(*) AS k FROM (SELECT domain, v, bool_or(contains(v, w)) AS hit FROM words, (SELECT v, row_number() OVER () AS i FROM vals WHERE v IS NOT NULL) GROUP BY domain, v, i) WHERE hit GROUP BY domain)
     SELECT domain, (SELECT count(*) FROM n WHERE n.domain = d.domain) + 0.5::DOUBLE * coalesce((SELECT k FROM v WHERE v.domain = d.domain), 0) AS score FROM (SELECT DISTINCT domain FROM words) d"""
 _add("domain_scores", _on("sales", lambda df: classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"])), _domains, "sales")
 _add("top_domains", _on("sales", lambda df: audit.top_domains(classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"]))), f"{_domains} ORDER BY score DESC, domain LIMIT 5", "sales")
@@ -289,6 +300,21 @@ _steps = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS ste
 _entries = lambda df: df.selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS step", "CAST(o_orderkey % 3 AS INT) AS step_number", "'priority' AS column", "CAST(o_custkey % 5 AS STRING) AS task", "trim(customer_type) AS original", "upper(trim(customer_type)) AS cleaned", "'e' AS explanation", "CASE WHEN o_orderkey % 4 = 0 THEN 'info' WHEN o_orderkey % 4 = 1 THEN 'fix' ELSE 'change' END AS severity")
 _add("audit_by_step", _on("sales", lambda df: audit.by_step(_entries(df))), f"SELECT step_number, step, count(*) AS entries, count(*) FILTER (severity IN ('change', 'fix', 'remove')) AS changes FROM ({_steps}) GROUP BY 1, 2", "sales")
 _add("audit_distinct_changes", _on("sales", lambda df: audit.distinct_changes(_entries(df)).select("original", "cleaned", "step_number", "task")), f"SELECT original, cleaned, step_number, task FROM ({_steps}) QUALIFY row_number() OVER (PARTITION BY original, cleaned ORDER BY step_number, \"column\", task) = 1", "sales")
+# the first two stages of a cleaning run, compared cell by cell with what they were given
+_keyed_text = lambda c: f"CASE WHEN {_clean.format(c)} NOT IN {_in(K.CLEAN_MARKERS)} THEN {_clean.format(c)} END"
+_stages = lambda df: (df, loaded := pipeline.loaded(df), pipeline.clean_texts(loaded, ["record_id"]))
+_diff = " UNION ALL ".join(f"SELECT 1 AS step_number, 'load' AS step, '{c}' AS \"column\", {c} AS original, {_loaded(c)} AS cleaned, record_id FROM people WHERE {c} IS DISTINCT FROM {_loaded(c)} UNION ALL SELECT 5, 'text', '{c}', {_loaded(c)}, {_keyed_text(_loaded(c))}, record_id FROM people WHERE {_loaded(c)} IS DISTINCT FROM {_keyed_text(_loaded(c))}" for c in _text)
+_counts = f"SELECT step_number, step, \"column\", original, cleaned, count(*) AS n, CAST(min(record_id) AS VARCHAR) AS example FROM ({_diff}) GROUP BY ALL"
+
+
+def _changes(df: DataFrame) -> DataFrame:
+    raw, loaded, cleaned = _stages(df)
+    return audit.change_counts(raw, loaded, ["record_id"], 1, "load").union(audit.change_counts(loaded, cleaned, ["record_id"], 5, "text"))
+
+
+_add("audit_changes", _on("people", _changes), _counts, "people")
+_add("audit_column_totals", _on("people", lambda df: audit.column_totals(_changes(df))), f"SELECT step_number, step, \"column\", sum(n)::BIGINT AS cells, count(*) AS kinds, coalesce(sum(n) FILTER (cleaned IS NULL), 0)::BIGINT AS emptied, coalesce(sum(n) FILTER (original IS NULL), 0)::BIGINT AS filled FROM ({_counts}) GROUP BY 1, 2, 3", "people")
+_add("audit_top_changes", _on("people", lambda df: audit.top_changes(_changes(df))), f"SELECT *, row_number() OVER (PARTITION BY step, \"column\" ORDER BY n DESC, original NULLS FIRST, cleaned NULLS FIRST) AS place FROM ({_counts}) QUALIFY place <= 5", "people")
 _links = {"nation": ["region"], "customer": ["nation"], "supplier": ["nation"], "orders": ["customer"], "lineitem": ["orders", "part", "supplier"]}
 _add("table_levels", lambda s, d: s.createDataFrame(list(classify.levels(["region", "nation", "customer", "supplier", "part", "orders", "lineitem"], _links).items()), "table_name string, level int"),
      f"WITH RECURSIVE e AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, unnest({b}) AS b" for a, b in _links.items())}), w AS (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem']) AS t, 0 AS level UNION ALL SELECT a, level + 1 FROM w JOIN e ON b = t) SELECT t AS table_name, max(level)::INT AS level FROM w GROUP BY t")
