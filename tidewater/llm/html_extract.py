@@ -9,8 +9,14 @@ are, too. Where most lines of two articles are shared, the pages are copies of o
 template.
 
 Beyond that, only what the markup says plainly decides: elements that hold navigation, forms or code, landmark roles, hidden
-elements, whole class names of adverts, comments and the like, and articles inside articles, which are comments. Parts of
-class names decide nothing. On pages with an article, what stands outside it is no main text.
+elements, whole class names of adverts, comments and the like, and articles inside articles, which are comments. On pages with
+an article, what stands outside it is no main text.
+
+Names that only hint, parts of hyphenated ones (`cookie-banner`, `comment-list`) and words that articles are about as well
+(`menu`, `promo`), make an element a suspect, and the host's other pages decide: an element of that name and class that
+several of them have belongs to the template and goes; one that no other page of a host with several has is content and stays.
+On hosts of one or two pages, which tell nothing, parts of plain names count and the others don't. A suspect never holds an
+article, and suspects stay on a page that would have no text without them.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import join_groups, partitions, slices, written
@@ -38,17 +44,21 @@ BLOCKS = (
 PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 blockquote pre"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 NAMES = (
-    "ad ads advert adverts advertisement adsense sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer "
+    "ad ads advert adverts advertisement adsense sponsored sidebar nav navbar navigation breadcrumb breadcrumbs masthead footer "
     "comment comments disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe share sharing pagination pager toolbar"
 )
+HINTS = "promo banner menu related recommended teaser trending widget"
+NEGATIONS = "no not has with without is hide show"
 ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar"
 
-_RAW, _BOILER, _BLOCKS, _PARAGRAPHS, _VOID, _NAMES, _ROLES = (frozenset(x.split()) for x in (RAW, BOILER, BLOCKS, PARAGRAPHS, VOID, NAMES, ROLES))
+_RAW, _BOILER, _BLOCKS, _PARAGRAPHS, _VOID, _NAMES, _HINTS, _NEGATIONS, _ROLES = (frozenset(x.split()) for x in (RAW, BOILER, BLOCKS, PARAGRAPHS, VOID, NAMES, HINTS, NEGATIONS, ROLES))
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>", re.S)
 _attribute = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 #: Parts of a page: outside all others, inside an article, inside menus and so on.
 PLAIN, CORE, EDGE = 0, 1, 2
+#: Pages of a host from which on it tells about suspects, and pages with one of a name that make it the template's.
+TELLING_PAGES, RECURS = 3, 2
 #: Bits of memory for one alignment table; larger ones are split in halves.
 ALIGN_BITS = 1 << 28
 
@@ -64,20 +74,36 @@ def _named(attributes: str) -> bool:
     return False
 
 
+def _suspect(name: str, attributes: str) -> int:
+    """0 for elements whose names hint at nothing; else a number for the element with its names, odd if a part is a plain name."""
+    parts, value = set(), ""
+    for m in _attribute.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            value += f" {m[2] or m[3] or m[4] or ''}"
+    for token in value.lower().split():
+        of = re.split(r"[-_]+", token)
+        if of[0] not in _NEGATIONS:
+            parts.update(of)
+    if parts.isdisjoint(_NAMES) and parts.isdisjoint(_HINTS):
+        return 0
+    return (zlib.crc32(f"{name}{value}".encode("utf-8", "surrogatepass")) << 1 | (not parts.isdisjoint(_NAMES))) + 2
+
+
 def _kind(name: str, attributes: str) -> int:
     """1 .. 255: stands for an element with its class."""
     of = [m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes) if m[1].lower() == "class"] if attributes else []
     return zlib.crc32(f"{name} {of}".encode("utf-8", "surrogatepass")) % 255 + 1
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
-    """Blocks of a page: text, part, and kind (0: a paragraph or heading, else see _kind). White space is one space; empty
-    blocks go."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Blocks of a page: text, part, kind (0: a paragraph or heading, else see _kind) and suspect (0: in none, else see _suspect).
+    White space is one space; empty blocks go."""
     texts: list[str] = []
     parts: list[int] = []
     kinds: list[int] = []
-    stack: list[tuple[str, int, list[str] | None, int, int]] = []
-    part, kind, pieces, at, end = PLAIN, 1, [], 0, len(page)
+    suspects: list[int] = []
+    stack: list[tuple[str, int, list[str] | None, int, int, int]] = []
+    part, kind, suspect, pieces, at, end = PLAIN, 1, 0, [], 0, len(page)
 
     def close() -> None:
         if pieces:
@@ -85,6 +111,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
                 texts.append(text)
                 parts.append(part)
                 kinds.append(kind)
+                suspects.append(suspect)
             pieces.clear()
 
     while at < end:
@@ -106,7 +133,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
                 if name in _BLOCKS or any(x[0] == name and x[2] is not None for x in stack):
                     close()
                 while stack:
-                    top, part, outer, kind, _ = stack.pop()
+                    top, part, outer, kind, _, suspect = stack.pop()
                     if outer is not None:  # what an advert or the like interrupted goes on
                         pieces += outer
                     if top == name:
@@ -133,6 +160,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
                 now = EDGE
             elif name in ("article", "main") or m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I):
                 now = CORE
+        doubt = suspect
+        if now == CORE != part:
+            doubt = 0  # what holds an article is no menu
+        elif now != EDGE and not doubt and m[3] and name in _BLOCKS and name not in _PARAGRAPHS and name not in ("article", "body", "html", "main"):
+            doubt = _suspect(name, m[3])
         outer = None
         if now != part and name not in _BLOCKS:
             outer = pieces.copy()
@@ -146,14 +178,24 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
                     texts.append(x)
                     parts.append(now)
                     kinds.append(0)
+                    suspects.append(0)
                 at = over.end()
             continue
         if now == part and name not in _BLOCKS:
             continue
-        stack.append((name, part, outer, above, kind))
-        part = now
+        stack.append((name, part, outer, above, kind, suspect))
+        part, suspect = now, doubt
     close()
-    return texts, parts, kinds
+    return texts, parts, kinds, suspects
+
+
+def settled(parts: list[int], suspects: list[int], edges: set[int]) -> list[int]:
+    """Parts of lines once suspects are decided: those in edges go with menus and the like, unless the page would be empty."""
+    if not any(suspects):
+        return parts
+    new = [EDGE if s and s in edges else p for p, s in zip(parts, suspects, strict=True)]
+    kept = CORE if CORE in parts else PLAIN
+    return new if kept in new else parts
 
 
 def _bits(a: list[int], b: list[int]) -> list[int]:
@@ -238,15 +280,17 @@ def _mark(line: str) -> int:
 
 
 def _to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, url, html) -> (key, url, marks, parts); parts holds two bytes a line, its part and kind."""
+    """(key, url, html) -> (key, url, marks, parts, suspects); parts holds two bytes a line, its part and kind; suspects is null
+    for pages without any."""
     for batch in batches:
         pages = [x or "" for x in batch.column(2).to_pylist()]
         for a, b in slices(pages):
             found = [lines_of(x) for x in pages[a:b]]
-            parts = [bytes(x for both in zip(ps, ks, strict=True) for x in both) for _, ps, ks in found]
-            marks = [[_mark(x) for x in xs] for xs, _, _ in found]
+            parts = [bytes(x for both in zip(ps, ks, strict=True) for x in both) for _, ps, ks, _ in found]
+            marks = [[_mark(x) for x in xs] for xs, _, _, _ in found]
+            suspects = [xs if any(xs) else None for _, _, _, xs in found]
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array(parts, pa.binary())], ["key", "url", "marks", "parts"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.array(suspects, pa.list_(pa.int64()))], ["key", "url", "marks", "parts", "suspects"])
 
 
 def _to_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,24 +307,60 @@ def _to_gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, gone) -> (page_id, url, text, n_chars)."""
+    """(page_id, url, html, gone, edges) -> (page_id, url, text, n_chars)."""
     for batch in batches:
         pages = [x or "" for x in batch.column(2).to_pylist()]
-        gone = batch.column(3).to_pylist()
+        gone, edges = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         for a, b in slices(pages):
             texts = []
-            for page, out in zip(pages[a:b], gone[a:b], strict=True):
-                lines, parts, _ = lines_of(page)
-                texts.append(main_text(lines, parts, set(out or ())))
+            for page, out, edge in zip(pages[a:b], gone[a:b], edges[a:b], strict=True):
+                lines, parts, _, suspects = lines_of(page)
+                texts.append(main_text(lines, settled(parts, suspects, set(edge or ())), set(out or ())))
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _SCHEME + r"([^/?#]*)", 1))
+
+
+def _resettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, url, marks, parts, suspects, edges) -> (key, url, marks, parts), suspects decided."""
+    for batch in batches:
+        out = []
+        for parts, suspects, edges in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            if suspects and edges:
+                new = settled(list(parts[0::2]), suspects, set(edges))
+                parts = bytes(x for both in zip(new, parts[1::2], strict=True) for x in both)
+            out.append(parts)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["key", "url", "marks", "parts"])
+
+
+def edges_of(marks: DataFrame) -> DataFrame | None:
+    """(key, edges): the suspects that go, of pages where any do; None if no page has suspects. marks: a written table of
+    key, url, marks, parts, suspects, a row for each different page.
+
+    Pages with a suspect and pages in all are counted by host; both are sums that combine before they are shuffled.
+    """
+    each = written(marks.where("suspects IS NOT NULL").select("key", host_of(F.col("url")).alias("host"), F.explode(F.array_distinct(F.array_remove("suspects", 0))).alias("suspect")), "page-suspects")
+    if each.isEmpty():
+        return None
+    hosts = marks.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+    found = each.groupBy("host", "suspect").agg(F.count("*").alias("n")).join(hosts, "host")
+    plain = F.pmod("suspect", F.lit(2)) == 1
+    found = written(found.where((F.col("n") >= RECURS) | ((F.col("pages") < TELLING_PAGES) & plain)).select(F.struct("host", "suspect").alias("of"), "n"), "page-edges")
+    met = join_groups(each.select("key", F.struct("host", "suspect").alias("of")), found, "of", "n", each.count())
+    # a page has as many as it has elements
+    return written(met.groupBy("key").agg(F.collect_list("of.suspect").alias("edges")), "page-edged")
+
+
 def places(marks: DataFrame) -> DataFrame:
     """(key, host, path, same, content): same stands for a page's lines, content for lines and parts."""
     url = F.coalesce("url", F.lit(""))
-    scheme = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
-    host, path = F.lower(F.regexp_extract(url, scheme + r"([^/?#]*)", 1)), F.regexp_extract(url, scheme + r"[^/?#]*([^?#]*)", 1)
+    host, path = host_of(F.col("url")), F.regexp_extract(url, _SCHEME + r"[^/?#]*([^?#]*)", 1)
     return marks.select("key", host.alias("host"), path.alias("path"), F.xxhash64("marks").alias("same"), F.xxhash64("marks", "parts").alias("content"))
 
 
@@ -316,7 +396,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     carried = spark.createDataFrame([(p, befores[p], afters[p]) for p in befores], f"p long, carried_before {kind}, carried_after {kind}")  # one row a partition
     both = runs.join(F.broadcast(carried), "p").select("row.*", F.coalesce("before", "carried_before").alias("before"), F.coalesce("after", "carried_after").alias("after"))
 
-    def common(x: str) -> F.Column:
+    def common(x: str) -> Column:
         size = F.length("path") - F.length(F.regexp_extract(F.concat_ws("\x00", F.col("path"), F.col(f"{x}.path")), r"^(.*)([^\x00]*)\x00\1", 2))
         return F.when(F.col(f"{x}.host") == F.col("host"), size)
 
@@ -345,7 +425,7 @@ def deleted(marks: DataFrame) -> DataFrame:
 
 
 #: Pages with deletions that are broadcast (a key and a few numbers each); more are joined by sort-merge.
-MOST_BROADCAST = 200_000
+MOST_BROADCAST = 50_000
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -362,9 +442,14 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     text = F.concat_ws("\x00", F.coalesce(F.col("page_id").cast("string"), F.lit("\x01")), F.coalesce("url", F.lit("\x01")), F.coalesce("html", F.lit("")))
     keyed = source.withColumn("key", F.unhex(F.md5(text.cast("binary"))))
-    marks = keyed.select("key", "url", "html").mapInArrow(_to_marks, "key binary, url string, marks array<long>, parts binary")
+    marks = keyed.select("key", "url", "html").mapInArrow(_to_marks, "key binary, url string, marks array<long>, parts binary, suspects array<long>")
     marks = written(marks.dropDuplicates(["key"]), "page-marks")
-    gone = written(deleted(marks), "page-gone")
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("merge")
-    out = keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone")
+    edges = edges_of(marks)
+    if edges is not None:
+        marks = written(marks.join(edges, "key", "left").mapInArrow(_resettled, "key binary, url string, marks array<long>, parts binary"), "page-settled")
+    gone = written(deleted(marks.drop("suspects")), "page-gone")
+    small = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df.hint("merge")
+    out = keyed.join(small(gone), "key", "left")
+    out = out.withColumn("edges", F.lit(None).cast("array<long>")) if edges is None else out.join(small(edges), "key", "left")
+    out = out.select("page_id", "url", "html", "gone", "edges")
     return out.mapInArrow(_to_text, "page_id long, url string, text string, n_chars long")
