@@ -95,7 +95,7 @@ def _kind(name: str, attributes: str) -> int:
     return zlib.crc32(f"{name} {of}".encode("utf-8", "surrogatepass")) % 255 + 1
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
+def blocks_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
     """Blocks of a page: text, part, kind (0: a paragraph or heading, else see _kind) and suspect (0: in none, else see _suspect).
     White space is one space; empty blocks go."""
     texts: list[str] = []
@@ -189,6 +189,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
     return texts, parts, kinds, suspects
 
 
+def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
+    """Blocks of a page without what only the host can tell: text, part and kind."""
+    return blocks_of(page)[:3]
+
+
 def settled(parts: list[int], suspects: list[int], edges: set[int]) -> list[int]:
     """Parts of lines once suspects are decided: those in edges go with menus and the like, unless the page would be empty."""
     if not any(suspects):
@@ -285,7 +290,7 @@ def _to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [x or "" for x in batch.column(2).to_pylist()]
         for a, b in slices(pages):
-            found = [lines_of(x) for x in pages[a:b]]
+            found = [blocks_of(x) for x in pages[a:b]]
             parts = [bytes(x for both in zip(ps, ks, strict=True) for x in both) for _, ps, ks, _ in found]
             marks = [[_mark(x) for x in xs] for xs, _, _, _ in found]
             suspects = [xs if any(xs) else None for _, _, _, xs in found]
@@ -314,7 +319,7 @@ def _to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(pages):
             texts = []
             for page, out, edge in zip(pages[a:b], gone[a:b], edges[a:b], strict=True):
-                lines, parts, _, suspects = lines_of(page)
+                lines, parts, _, suspects = blocks_of(page)
                 texts.append(main_text(lines, settled(parts, suspects, set(edge or ())), set(out or ())))
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
