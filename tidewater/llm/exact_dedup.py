@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import counted, forget, join_groups, partitions, scratch_path
+from .runtime import counted, forget, join_groups, partitions, scratch_path, together
 
 
 def digest_of(text: Column) -> Column:
@@ -82,6 +82,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, i
     batch: the batch's name; by default a digest of its ids and texts, so the same rows are the same batch, run again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
+    return dedup_digests(rows, index, batch)
+
+
+def dedup_digests(rows: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+    """exact_dedup() of rows (doc_id, digest)."""
     rows, seen = counted(rows.withColumn("row", F.monotonically_increasing_id()), "dedup-rows", sign=F.sum(F.xxhash64("doc_id", "digest").cast("decimal(38,0)")))
     batch = batch or f"b{seen['n']}_{seen.get('sign') or 0}".replace("-", "m")
     order = F.coalesce("doc_id", F.lit(-(2**63)))
@@ -97,10 +102,31 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str | None = None, i
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.coalesce("keep_row", F.lit(-1))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: Batches in which op1 feeds the index.
+BATCHES = 3
+
+
 def op1_exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All of docs as the first batch of a new index."""
+    """doc_id, keep_id, group_size, kept, text_sha256 of all rows, which enter a new index in BATCHES batches, the largest ids first:
+    so a later batch's texts that the index has are dropped by its anti-join, and what stays of equal texts has the largest id.
+
+    Texts are read and hashed once. Ids are cut at their approximate quantiles; a null id is in the last batch. Group sizes are
+    of all batches. Odd inputs as in exact_dedup().
+    """
     index = DigestIndex(spark, scratch_path(spark, "digest-index"), buckets=max(8, partitions(spark)))
-    return exact_dedup(docs, index)
+    rows, seen = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest")), "dedup-digests")
+    cuts = rows.agg(F.percentile_approx("doc_id", [1 - (i + 1) / BATCHES for i in range(BATCHES - 1)])).first()[0] or []
+    cuts, found, top = sorted(set(cuts), reverse=True), [], F.lit(True)
+    for i in range(len(cuts) + 1):
+        low = F.col("doc_id") >= cuts[i] if i < len(cuts) else F.lit(True)
+        part = rows.where(low & top) if i < len(cuts) else rows.where(F.coalesce(top, F.lit(True)))
+        found.append(counted(dedup_digests(part, index, f"part{i}").select("doc_id", "keep_id", "kept", F.unhex("text_sha256").alias("digest")), "dedup-part")[0])
+        top = F.col("doc_id") < cuts[i] if i < len(cuts) else top
+    forget(rows)
+    every = together(found)
+    sizes, n_sizes = counted(every.groupBy("digest").agg(F.count("*").alias("group_size")), "dedup-sizes")
+    out = join_groups(every, sizes, "digest", "group_size", seen["n"], n_sizes["n"])
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = """
