@@ -20,9 +20,8 @@ from .runtime import slices
 
 #: Bounds of the sample that a language is learned from: documents, and bytes of them (after `normalised`) in all.
 TRAIN_DOCS, TRAIN_BYTES = 40, 40_000
-#: Rows up to so many characters are sampled first and whole. Longer ones are taken for what these leave, each as SPREAD pieces
-#: of SPREAD_CHARS characters at even distances over its whole text.
-TRAIN_DOC_CHARS, SPREAD, SPREAD_CHARS = 3_000, 8, 375
+#: Rows up to so many characters are sampled before longer ones. All are learned whole.
+TRAIN_DOC_CHARS = 3_000
 #: More values of the label column than this are taken for something else than languages: an error.
 MOST_LANGUAGES = 10_000
 #: Bytes of a text that are parsed as one; a phrase ends where its block ends.
@@ -186,9 +185,7 @@ def training_rows(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
         return {}
     share = docs.sparkSession.createDataFrame([(r["lang"], r["long"], min(1.0, (4.0 * TRAIN_DOCS + 20.0) / r["count"])) for r in counts], "lang string, long int, share double")  # at most two rows a language
     few = rows.join(F.broadcast(share), ["lang", "long"]).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)).where("h < share")
-    piece = lambda i: F.substr("text", (1 + F.floor(i * (F.length("text") - SPREAD_CHARS) / (SPREAD - 1))).cast("int"), F.lit(SPREAD_CHARS))
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), piece), "\n")
-    few = few.select("lang", "long", "h", "id", F.when(F.col("long") == 1, spread).otherwise(F.col("text")).alias("text"))
+    few = few.select("lang", "long", "h", "id", "text")
     order = Window.partitionBy("lang").orderBy("long", "h", "id", "text")
     out: dict[str, list[str]] = {}
     for r in few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS).orderBy("lang", "n").select("lang", "text").collect():
