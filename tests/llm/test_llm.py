@@ -563,3 +563,46 @@ def test_pipeline_keeps_one_of_each(spark, tmp_path):
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 201 not in out and not {0, 200} <= out and len(out) <= 36 and math.isfinite(len(out))
+
+
+def test_exact_dedup_meets_a_filled_index(spark):
+    """Copies in every batch of op1: the later batches' are dropped by the index."""
+    rows = [(i, f"text {i % 7}", "en", "a") for i in range(60)] + [(None, "text 3", "en", "a"), (None, None, "en", "a"), (59, "text 3", "en", "a")]
+    got = exact_dedup.op1_exact_dedup(spark, docs(spark, rows)).collect()
+    sizes = {}
+    for _, t, *_ in rows:
+        sizes.setdefault(t or "", []).append(_)
+    for r in got:
+        text = next(t or "" for t in {t for _, t, *_ in rows} if hashlib.sha256((t or "").encode()).hexdigest() == r["text_sha256"])
+        ids = [i for i, t, *_ in rows if (t or "") == text]
+        assert r["group_size"] == len(ids) and r["keep_id"] == max((i for i in ids if i is not None), default=None)
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 8
+    assert {r["doc_id"] for r in got if r["kept"]} == {r["keep_id"] for r in got}
+
+
+def test_pipeline_equals_its_stages_one_by_one(spark, tmp_path):
+    """The documents that brute-force stages keep, up to near-dedup; mixing draws from them; all are encoded."""
+    rng = random.Random(17)
+    letters = {"en": "the of and to in is that it was for", "de": "der die und das ist nicht ein mit auf sich"}
+    text = lambda lang, n: " ".join(rng.choice(letters[lang].split()) + str(rng.randrange(99)) for _ in range(n))
+    rows = [(i, text(("en", "de")[i % 2], 60), ("en", "de")[i % 2], "ab"[i % 2]) for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en", "a") for i in range(5)]  # exact copies: the larger id stays
+    rows += [(200 + i, rows[10 + i][1] + " end", "en", "b") for i in range(5)]  # near copies: the least id stays
+    rows += [(300, None, "en", "a"), (301, "12 34 !!", "en", "a"), (302, "", "de", "b")]  # no letters
+    path = str(tmp_path / "sf")
+    docs(spark, rows).write.parquet(f"{path}/documents.parquet")
+    want = {i for i, t, *_ in rows if t and any(c.isalpha() for c in t)} - set(range(5)) - set(range(200, 205))
+    stages = dict(corpus_pipeline.STAGES)
+    now = docs(spark, rows)
+    for name in ("language_id", "exact_dedup", "near_dedup"):
+        now = stages[name](spark, now, path)
+    kept = {r["doc_id"]: r["lang"] for r in now.collect()}
+    assert set(kept) == want and all(kept[i] == ("en", "de")[i % 2] for i in kept if i < 40)
+    mixed = {r["doc_id"] for r in stages["mixing"](spark, now, path).collect()}
+    out = corpus_pipeline.run(spark, path).collect()
+    assert {r["doc_id"] for r in out} == mixed <= want and len(mixed) >= 0.6 * len(want)
+    by = {i: t for i, t, *_ in rows}
+    assert all(r["decoded_sha256"] == hashlib.sha256(by[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] > 0 for r in out)
+    empty = str(tmp_path / "none")
+    docs(spark, []).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
