@@ -320,11 +320,17 @@ def health_clusters(clustered: DataFrame, t: Tiers) -> DataFrame:
     return out.where("cluster_size > 1").select(F.col("_cid").alias("cluster"), "cluster_size", F.when(F.col("e"), "exact").when(F.col("d"), "contacts differ").otherwise("contacts agree").alias("kind"))
 
 
-def deduplicate(df: DataFrame, order: list[str], strategies: dict[str, str] | None = None, keep_all_rows: bool = False, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(result, report): golden records in order of their first row, or all rows enriched, and the cluster report."""
+def deduplicate(df: DataFrame, order: list[str], strategies: dict[str, str] | None = None, keep_all_rows: bool = False, config: Config = Config(), in_order: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(result, report): golden records in order of their first row, or all rows enriched, and the cluster report. in_order: rows are
+    merged one after the other (see replay.replayed), so what comes first decides."""
     base = numbered(df, order)
     t = tiers(df.columns, strategies, config.compat_gov_id)
-    clustered = written(Engine(t, config).clusters(base), "dedup-clustered")
+    if in_order:
+        from .replay import replayed
+
+        clustered = written(replayed(base, Engine(t, config)), "dedup-clustered")
+    else:
+        clustered = written(Engine(t, config).clusters(base), "dedup-clustered")
     report = cluster_report(clustered, t.name[0] if t.name else None)
     if keep_all_rows:
         return enrich(clustered, t).drop("_rid", "_cid"), report

@@ -12,7 +12,7 @@ from ..functions import constants as K
 from ..functions import fuzzy
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import audit, classify, currency, dates, dedup, filters, graph, impute, mapping, outliers, profile, rules, validate
+from ..operators import audit, classify, currency, dates, dedup, filters, graph, impute, mapping, outliers, profile, replay, rules, validate
 from ..operators.shared import numbered, q
 from . import console, core_sql, pipeline
 from .planner import plan
@@ -419,6 +419,7 @@ _add("deduplicate_people", _on("people", lambda df: _rounded(dedup.deduplicate(d
      f"""{_core}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, {_first_known('record_id')}, {_first_known('salary')}, round(median(age), 6)::DOUBLE AS age FROM c GROUP BY cid), {_contacts}
     SELECT record_id, full_name, email, phone, {', '.join(_rest)}, age, salary FROM g LEFT JOIN e ON g.cid = e.cid LEFT JOIN h ON g.cid = h.cid""", "people")
 _add("cluster_report", _on("people", lambda df: dedup.deduplicate(df, ["record_id"])[1]), f"{_core} SELECT cid AS cluster, count(*) AS cluster_size, arg_min(full_name, rid) FILTER ({_KEY.format('full_name')} <> '') AS canonical_name, min(rid) AS first_row, max(rid) AS last_row FROM c GROUP BY cid HAVING count(*) > 1", "people")
+_add("replayed_clusters", _on("people", lambda df: replay.replayed(_base(df), dedup.Engine(_tiers(df))).select("record_id", "_cid")))
 _add("cluster_rows", _on("people", lambda df: dedup.cluster_rows(_engine_clusters(df))), f"{_core} SELECT cid AS cluster, row_number() OVER (PARTITION BY cid ORDER BY rid) AS place, rid AS row_number FROM c QUALIFY count(*) OVER (PARTITION BY cid) > 1", "people")
 _add("enrich_people", _on("people", lambda df: dedup.enrich(_engine_clusters(df), _tiers(df)).drop("_rid", "_cid")),
      f"""{_core}, g AS (SELECT cid, {', '.join(map(_gold, ['full_name', *_rest]))}, count(*) AS k FROM c GROUP BY cid), {_contacts},
