@@ -12,8 +12,8 @@ from ..functions import constants as K
 from ..functions import fuzzy
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import audit, classify, currency, dates, dedup, filters, graph, impute, mapping, outliers, profile, replay, rules, validate
-from ..operators.shared import numbered, q
+from ..operators import audit, classify, currency, dates, dedup, filters, graph, impute, mapping, outliers, profile, replay, rules, sketches, validate
+from ..operators.shared import numbered, q, scratch_path
 from . import console, core_sql, pipeline
 from .planner import plan
 from .testbed import TABLES, frame, with_tables
@@ -77,6 +77,20 @@ _add(
     "missing_report", _on("people", profile.missing_report),
     f"SELECT * FROM ({_union(_people, lambda c: f'count(*) - count({_loaded(c)}) AS missing_count, round(100.0 * (count(*) - count({_loaded(c)})) / count(*), 2) AS missing_pct', 'people')}) WHERE missing_count > 0", "people",
 )
+
+
+def _by_parts(df: DataFrame) -> DataFrame:
+    """A profile merged from three parts, and whether its estimates are within 5 % of the exact numbers."""
+    store = sketches.ProfileStore(df.sparkSession, scratch_path(df.sparkSession, "profile"))
+    for i in range(3):
+        store.add(df.where(F.col("record_id") % 3 == i), f"p{i}")
+    exact = profile.profile_columns(df).select("column", F.col("n_unique").alias("exact"))
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return store.profile().join(exact, "column").select("column", "dtype", "n_rows", "null_count", "null_pct", "low", "high", near.alias("near"))
+
+
+_add("profile_by_parts", _on("people", _by_parts),
+     _union(_people, lambda c: f"'{_types.get(c, 'string')}' AS dtype, count(*) AS n_rows, count(*) - count({_loaded(c)}) AS null_count, round(100.0 * (count(*) - count({_loaded(c)})) / count(*), 4) AS null_pct, {f'min({c})::DOUBLE' if c in _types else 'NULL::DOUBLE'} AS low, {f'max({c})::DOUBLE' if c in _types else 'NULL::DOUBLE'} AS high, true AS near", "people"), "people")
 _missing = " + ".join(f"count(*) - count({_loaded(c)})" for c in _people)
 _add("completeness", _on("people", profile.completeness), f"SELECT count(*) AS n_rows, count(*) * {len(_people)} AS n_cells, {_missing} AS missing_cells, round(100.0 - 100.0 * ({_missing}) / (count(*) * {len(_people)}), 4) AS completeness FROM people", "people")
 _dup_cols = [c for c in _people if c != "record_id"]
