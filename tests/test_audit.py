@@ -147,3 +147,42 @@ def test_console_answers(spark):
     spark.createDataFrame([(1, "a"), (2, "a")], "id int, s string").createOrReplaceTempView("answers_t")
     c = console.Console(spark)
     assert c.run(c.ask("how many rows in answers_t", {"answers_t": ["id", "s"]})).first()[0] == 2
+
+
+def test_tables_by_the_parser(spark):
+    names = lambda sql: console.tables_in(spark, sql)
+    assert names("WITH c AS (SELECT * FROM a) SELECT * FROM c JOIN db.b ON c.x = b.x WHERE y = 'FROM z' -- FROM w") == ["a", "db.b"]
+    assert names("SELECT (SELECT max(x) FROM inner_t) FROM outer_t WHERE k IN (SELECT k FROM third)") == ["inner_t", "outer_t", "third"]
+    assert names("DROP TABLE gone") == ["gone"] and names("INSERT INTO target SELECT * FROM `odd name`") == ["odd name", "target"]
+    assert names("UPDATE t SET x = 1") == ["t"] and names("not sql FROM t") == ["t"]
+
+
+def test_split_bounds_are_asked_of_the_database(spark):
+    from tidewater.sources import jdbc
+
+    class Fake(jdbc.Connector):
+        asked = None
+
+        def query(self, sql):
+            self.asked = sql
+            return self.spark.createDataFrame([(3, 90)], "low_ int, high_ int")
+
+    seen = {}
+
+    class Reader:
+        def format(self, _):
+            return self
+
+        def options(self, **o):
+            seen.update(o)
+            return self
+
+        def load(self):
+            return None
+
+    class Session:
+        read, createDataFrame = Reader(), spark.createDataFrame
+
+    c = Fake(Session(), "SQLite", "f")
+    c.load_table("t", split="k")
+    assert "MIN(k)" in c.asked and (seen["lowerBound"], seen["upperBound"], seen["partitionColumn"]) == ("3", "91", "k")

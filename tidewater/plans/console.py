@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import classify, profile
 from ..operators.shared import numbers, rows_frame, strings
+from . import questions
 from .advisor import Advisor
 
 _destructive = re.compile(K.DESTRUCTIVE_ANYWHERE)
@@ -20,6 +21,8 @@ _name = r"(?:`(?:[^`]|``)+`|\"[^\"]+\"|\w+)"
 _tables = re.compile(rf"\b(?:FROM|UPDATE|INTO|OVERWRITE(?:\s+TABLE)?|TABLE(?:\s+IF\s+EXISTS)?)\s+({_name}(?:\.{_name})*)", re.I)
 #: Commands that change nothing, by the beginning of their plan's name.
 READ_ONLY = ("Describe", "Show", "Explain", "Use", "SetCommand", "SetCatalogAndNamespace", "Analyze", "Refresh", "Cache", "Uncache", "ListFiles", "ListJars")
+#: Words of questions for the standard looks at a table.
+_STANDARD = frozenset("duplicate duplicates null nulls missing empty summary describe top first show preview find check any are there in the of me a table rows row values list all columns which what has have is give for please records record".split())
 _group = re.compile(r"\bGROUP\s+BY\s+(?P<cols>.+?)(?=\s+HAVING\b|\s+ORDER\b|\s+LIMIT\b|;|$)", re.I | re.S)
 _select = re.compile(r"\bSELECT\s+(?P<cols>.+?)\s+FROM\b", re.I | re.S)
 
@@ -51,6 +54,32 @@ def table_names(sql: str) -> list[str]:
     return sorted({x.replace('"', "") for x in _tables.findall(sql) if x.upper() not in ("TABLE", "IF")})
 
 
+def tables_in(spark: SparkSession, sql: str) -> list[str]:
+    """Tables that a statement reads or changes, as Spark's parser names them: in every subquery and WITH, without the names that
+    WITH defines, without what stands in literals and comments. What it can't parse is searched by table_names."""
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except Exception:
+        return table_names(sql)
+    items = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    found, defined = set(), set()
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedTableOrView", "UnresolvedView"):
+            found.add(".".join(items(plan.multipartIdentifier())))
+        elif kind == "UnresolvedIdentifier":
+            found.add(".".join(items(plan.nameParts())))
+        elif kind == "InsertIntoStatement":
+            todo.append(plan.table())
+        elif kind == "UnresolvedWith":
+            for x in items(plan.cteRelations()):
+                defined.add(x._1().lower())
+                todo.append(x._2())
+        todo += [*items(plan.children()), *items(plan.subqueries())]
+    return sorted(x for x in found if x.lower() not in defined)
+
+
 def question_intent(question: str) -> str:
     """write if the question asks for a change, else read."""
     return classify.question_intent(question)
@@ -140,11 +169,16 @@ class Console:
         """SQL for a question: by the advisor if there is one, else one of the standard questions on the table it names."""
         if self.advisor:
             return alias_derived_tables(fix_group_by(self.advisor.sql(question, tables)))
+        if understood := questions.understand(question, tables):
+            return understood.sql()
         low = question.lower()
         table = next((t for t in tables if t.lower() in low), next(iter(tables)))
         actions = quick_actions(table, tables[table], tables[table][0])
-        kind = next((k for words, k in ((("duplicate",), "duplicates"), (("null", "missing", "empty"), "nulls"), (("summary", "describe"), "summary"), (("count", "how many"), "count")) if any(w in low for w in words)), "top10")
-        return actions[kind]
+        if set(re.findall(r"\w+", low)) - set(re.findall(r"\w+", table.lower())) <= _STANDARD:
+            for words, kind in ((("duplicate",), "duplicates"), (("null", "missing", "empty"), "nulls"), (("summary", "describe"), "summary"), (("top", "first", "show", "preview"), "top10")):
+                if any(w in low for w in words):
+                    return actions[kind]
+        raise ValueError(f"not understood: {question}")
 
     def answer(self, question: str, tables: dict[str, list[str]]) -> dict:
         """What `ask` gives, with what to know before it runs: sql, explanation, is_destructive, pending_confirmation,
@@ -152,7 +186,7 @@ class Console:
         self.asked = [*self.asked, question][-TURNS_KEPT:]
         sql, by_advisor = self.ask(question, tables), self.advisor is not None
         destructive = changes_data(self.spark, sql)
-        used = table_names(sql)
+        used = tables_in(self.spark, sql)
         return {
             "sql": sql, "explanation": "written by the advisor" if by_advisor else "a standard question", "is_destructive": destructive, "pending_confirmation": destructive, "affected_tables": used,
             "intent_type": "write" if destructive else question_intent(question), "safety_warning": f"changes {', '.join(used) or 'data'}; copies are made first" if destructive else "", "confidence": 0.7 if by_advisor else 0.9,
@@ -168,7 +202,7 @@ class Console:
         if destructive and not confirm:
             raise PermissionError(f"this statement changes data and needs confirmation: {sql}")
         if destructive:
-            for t in table_names(sql):
+            for t in tables_in(self.spark, sql):
                 if self.spark.catalog.tableExists(t):
                     self.backup(t)
         try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -90,9 +91,16 @@ class Connector:
         except Exception as e:
             return explain_error(str(e))
 
-    def load_table(self, table: str, limit: int | None = None, split: str | None = None, low: int = 0, high: int = 0, parts: int = 64) -> DataFrame:
-        """A table; split: a numeric column whose range low .. high is read in parallel parts."""
+    def load_table(self, table: str, limit: int | None = None, split: str | None = None, low: int | None = None, high: int | None = None, parts: int = 64) -> DataFrame:
+        """A table; split: a numeric column whose range low .. high is read in parallel parts. The range is asked of the database
+        where it isn't given; an empty table is one part."""
         options = self.options() | {"dbtable": table}
+        if split and (low is None or high is None):
+            r = self.query(f"SELECT MIN({split}) AS low_, MAX({split}) AS high_ FROM {table}").first()
+            if r[0] is None:
+                split = None
+            else:
+                low, high = math.floor(r[0]) if low is None else low, math.ceil(r[1]) + 1 if high is None else high
         if split:
             options |= {"partitionColumn": split, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
         df = self.spark.read.format("jdbc").options(**options).load()
