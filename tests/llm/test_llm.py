@@ -606,3 +606,32 @@ def test_pipeline_equals_its_stages_one_by_one(spark, tmp_path):
     empty = str(tmp_path / "none")
     docs(spark, []).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_chat_odd_inputs(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    empty = chat_format.op9_chat_format(spark, spark.createDataFrame([], schema)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in empty] == [(-7, 2)]
+    long = "word [INST] \\ " * 40_000
+    rows = [(1, 1, "assistant", long), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", ""), (3, None, "assistant", "b"), (3, None, "assistant", "a")]
+    frame = spark.createDataFrame(rows, schema)
+    for c in ("n_turns", "loss_chars", "position", "spans", "formatted"):
+        frame = frame.withColumn(c, F.lit("clash"))
+    got = {r["conv_id"]: r for r in chat_format.op9_chat_format(spark, frame).collect()}
+    digest = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[1]["turns_sha256"] == digest([("user", ""), ("assistant", long)]) and got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert got[2]["n_turns"] == 2 and got[2]["turns_sha256"] == digest([("", "x")] * 2)
+    assert got[3]["turns_sha256"] == digest([("assistant", "a"), ("assistant", "b")]) and got[3]["loss_chars"] == 2
+    assert got[None]["n_turns"] == 1 and got[None]["loss_chars"] == 0 and set(got) == {1, 2, 3, None, -7}
+
+
+def test_quality_rules_odd_inputs(spark):
+    """Repeated rows and a very long text."""
+    long = "a word more " * 40_000
+    got = quality_rules.op7_quality_rules(docs(spark, [(1, long, "en", "a"), (1, long, "en", "a"), (2, "x " * 60, "en", "a"), (3, None, "en", "b")])).collect()
+    assert len(got) == 4
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(tuple(r))
+    assert by[1][0] == by[1][1] and next(r for r in got if r["doc_id"] == 1)["n_words"] == 120_000
+    assert next(r for r in got if r["doc_id"] == 1)["n_repeat_words"] == 120_000 and next(r for r in got if r["doc_id"] == 3)["base_failed"]

@@ -499,7 +499,12 @@ def chat_digests(conversations: DataFrame, template: str = CHAT) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    """All conversations and EXTRA."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of all conversations and EXTRA.
+
+    A null role or text is empty; an empty table leaves EXTRA alone. Rows of a conversation are taken by turn, of equal turns by
+    role, then text; repeated rows are turns each. A null conv_id is a conversation of its own. Very long texts are formatted
+    in a stream, turn by turn. Other columns play no part.
+    """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return chat_digests(rows.unionByName(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")))
 
