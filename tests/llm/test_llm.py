@@ -635,3 +635,14 @@ def test_quality_rules_odd_inputs(spark):
         by.setdefault(r["doc_id"], []).append(tuple(r))
     assert by[1][0] == by[1][1] and next(r for r in got if r["doc_id"] == 1)["n_words"] == 120_000
     assert next(r for r in got if r["doc_id"] == 1)["n_repeat_words"] == 120_000 and next(r for r in got if r["doc_id"] == 3)["base_failed"]
+
+
+def test_pairs_are_compared_in_bounded_slices():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (10, 0, 500, 5, 5, 5, 90)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array(texts[::-1])], ["a", "ta", "tb"])
+    got = list(near_dedup._parts(iter([batch, batch.slice(0, 0)]), 120))
+    assert [x for part in got for x in part.column("a").to_pylist()] == list(range(8))
+    size = lambda part: sum(len(x or "") for k in ("ta", "tb") for x in part.column(k).to_pylist())
+    assert all(size(p) <= 120 or p.num_rows == 1 for p in got)
