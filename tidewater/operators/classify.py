@@ -14,7 +14,7 @@ from ..functions import constants as K
 from ..functions import text as X
 from .impute import sensitive
 from .rules import RULE_COLUMNS
-from .shared import numbers, q, rows_frame, stats_row, strings
+from .shared import distinct_counts, numbers, q, rows_frame, stats_row, strings
 
 
 @dataclass(frozen=True)
@@ -40,8 +40,8 @@ def _kind(t: T.DataType) -> str:
 def column_facts(df: DataFrame, order: list[str]) -> list[ColumnFacts]:
     """Facts of all columns: one aggregate over the table, and the first 50 rows in the order for patterns."""
     text = strings(df)
-    items = {(c, "u"): F.count_distinct(q(c)) for c in text} | {(c, "n"): F.count(q(c)) for c in text}
-    items |= {(c, "a"): F.avg(X.has_non_ascii(F.trim(q(c))).cast("int")) for c in text}
+    unique = distinct_counts(df, {c: q(c) for c in text})
+    items = {(c, "n"): F.count(q(c)) for c in text} | {(c, "a"): F.avg(X.has_non_ascii(F.trim(q(c))).cast("int")) for c in text}
     s = stats_row(df, items)
     head = stats_row(
         df.orderBy(*[q(c) for c in order]).select(*[q(c) for c in text]).limit(50),
@@ -52,7 +52,7 @@ def column_facts(df: DataFrame, order: list[str]) -> list[ColumnFacts]:
     for f in df.schema:
         c = f.name
         if c in text:
-            out.append(ColumnFacts(c, "string", s[c, "u"], s[c, "n"], s[c, "a"] or 0.0, words[c] or 0.0, head[c, "m"] or 0.0, max(head[c, k] or 0.0 for k in K.STRUCTURED_IDS)))
+            out.append(ColumnFacts(c, "string", unique[c], s[c, "n"], s[c, "a"] or 0.0, words[c] or 0.0, head[c, "m"] or 0.0, max(head[c, k] or 0.0 for k in K.STRUCTURED_IDS)))
         else:
             out.append(ColumnFacts(c, _kind(f.dataType)))
     return out

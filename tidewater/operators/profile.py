@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import constants as K
 from ..functions import numbers as N
 from ..functions import text as X
-from .shared import numbers, q, quantiles, rows_frame, stats_row, strings
+from .shared import distinct_counts, numbers, q, quantiles, rows_frame, stats_row, strings
 
 
 def primary_like(name: str) -> bool:
@@ -31,11 +31,12 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     items: dict[str, Column] = {"n": F.count("*")}
     for f in df.schema:
         items[f"null {f.name}"] = F.count_if(missing(q(f.name), f.dataType))
-        value = F.when(~missing(q(f.name), f.dataType), q(f.name))
-        items[f"unique {f.name}"] = F.count_distinct(value) if exact else F.approx_count_distinct(value)
+    values = {f.name: F.when(~missing(q(f.name), f.dataType), q(f.name)) for f in df.schema}
+    if not exact:
+        items |= {("unique", c): F.approx_count_distinct(v) for c, v in values.items()}
     s = stats_row(df, items)
-    n = s["n"]
-    rows = [(f.name, f.dataType.simpleString(), n, s[f"null {f.name}"], round(100.0 * s[f"null {f.name}"] / n, 4) if n else 0.0, s[f"unique {f.name}"]) for f in df.schema]
+    n, unique = s["n"], distinct_counts(df, values) if exact else {c: s["unique", c] for c in values}
+    rows = [(f.name, f.dataType.simpleString(), n, s[f"null {f.name}"], round(100.0 * s[f"null {f.name}"] / n, 4) if n else 0.0, unique[f.name]) for f in df.schema]
     return rows_frame(df.sparkSession, rows, "column string, dtype string, n_rows long, null_count long, null_pct double, n_unique long")
 
 
@@ -135,8 +136,8 @@ def null_or_blank(df: DataFrame) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """column, n_distinct, is_constant (one distinct value)."""
-    one = df.agg(*[F.count_distinct(q(c)).alias(c) for c in df.columns])
-    return one.unpivot([], [q(c) for c in df.columns], "column", "n_distinct").withColumn("is_constant", F.col("n_distinct") == 1)
+    counts = distinct_counts(df, {c: q(c) for c in df.columns})
+    return rows_frame(df.sparkSession, [(c, n, n == 1) for c, n in counts.items()], "column string, n_distinct long, is_constant boolean")
 
 
 def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -76,6 +76,40 @@ def stats_row(df: DataFrame, items: dict[str, Column]) -> dict:
     return dict(zip(keys, row, strict=True))
 
 
+#: Columns with more different values than this, by estimate, are counted in parts; and values of such columns to a part.
+FEW_VALUES, PART_VALUES = 10_000, 500_000
+
+
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Exact numbers of different values that aren't null, by name; -0.0 is 0.0.
+
+    One row a value and column, as many aggregates in one expand every row by the number of columns, each as wide as the table,
+    and one task's part of them grows with the table. An estimate tells the two ways apart, which give the same numbers: columns
+    of few values are combined before they are shuffled; the others are dealt first, over parts that grow in number with the
+    rows, so that no task holds more than PART_VALUES or so.
+    """
+    if not values:
+        return {}
+    names = list(values)
+    wide = {T.ByteType: "long", T.ShortType: "long", T.IntegerType: "long", T.FloatType: "double"}
+    kinds = df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(names)]).schema
+    cast = [values[c].cast(wide.get(type(f.dataType), f.dataType)) for c, f in zip(names, kinds, strict=True)]
+    cast = [v + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else v for v, f in zip(cast, kinds, strict=True)]
+    about = stats_row(df, {"n": F.count("*")} | {(i,): F.approx_count_distinct(v) for i, v in enumerate(cast)})
+    groups: dict[tuple[str, bool], list[int]] = {}
+    for i, (v, f) in enumerate(zip(cast, df.select(*[v.alias(f"v{i}") for i, v in enumerate(cast)]).schema, strict=True)):
+        groups.setdefault((f.dataType.json(), about[i,] > FEW_VALUES), []).append(i)
+    found = None
+    for (_, many), members in groups.items():
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), cast[i].alias("v")) for i in members])).alias("x")).select("x.i", "x.v").where("v IS NOT NULL")
+        if many:
+            rows = rows.repartition(max(1, -(-about["n"] * len(members) // PART_VALUES)), "i", "v")
+        each = rows.groupBy("i", "v").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("n"))
+        found = each if found is None else found.unionAll(each)
+    counts = {r["i"]: r["n"] for r in found.collect()}
+    return {c: counts.get(i, 0) for i, c in enumerate(names)}
+
+
 def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-side result as a DataFrame."""
     return spark.createDataFrame(rows, schema)
