@@ -11,9 +11,11 @@ else they must agree in, through one representative each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,19 @@ from .profile import primary_like
 from .shared import numbered, numbers, q, written
 from .similar import similar_pairs
 
-#: Identifiers with up to so many profiles have all of them paired; both ways give the same clusters.
-FEW_PROFILES = 64
+#: Identifiers with up to so many profiles have all of them paired; those with up to MANY_PROFILES are looked at one by one, in
+#: one row each; the others meet by joins. All ways give the same clusters.
+FEW_PROFILES, MANY_PROFILES = 6, 1_000
+#: Similarities of names that a worker remembers.
+KNOWN_NAMES = 500_000
 MASTER_DOMAINS = ("Retail", "Finance", "Healthcare", "Education", "HR", "CRM", "Insurance", "Government", "Real Estate")
 
 
+def _compatible(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """No column differs that both have."""
+    return all(x == y or not x or not y for x, y in zip(a, b, strict=True))
+
+
 def is_master_data(intent: str, domain: str) -> bool:
     """Business data, and domains about persons, get one row per cluster; others keep all rows, enriched."""
     return intent == "Non-Predictive Business" or domain in MASTER_DOMAINS
@@ -120,13 +130,91 @@ class Engine:
         named = first.where("name IS NOT NULL") if self.tiers.name else first
         values = F.concat(F.col("gov"), F.col("email"), F.col("phone"))
         entries = written(named.select(F.explode(F.array_distinct(ids)).alias("id"), "pid", F.coalesce("name", F.lit("")).alias("name"), values.alias("values")), "dedup-entries")
+        pairs = self.paired(entries)
+        return written(copies.union(pairs).select(F.least("a", "b").alias("rid_a"), F.greatest("a", "b").alias("rid_b")).distinct(), "dedup-candidates")
+
+    def paired(self, entries: DataFrame, few_profiles: int | None = None) -> DataFrame:
+        """(a, b): pairs that connect what may link under the identifiers of entries (id, pid, name, values), a written frame. Under
+        those with up to few_profiles, whatever the names; with 1 all pairs have alike names."""
+        least = FEW_PROFILES if few_profiles is None else few_profiles
         sizes = written(entries.groupBy("id").agg(F.count("*").alias("profiles")).where("profiles > 1"), "dedup-sizes")
-        few = entries.join(sizes.where(F.col("profiles") <= FEW_PROFILES).select("id"), "id").select("id", "pid")
+        some = sizes.where((F.col("profiles") > least) & (F.col("profiles") <= MANY_PROFILES)).select("id")
+        few = entries.join(sizes.where(F.col("profiles") <= least).select("id"), "id").select("id", "pid")
         pairs = few.select("id", F.col("pid").alias("a")).join(few.select("id", F.col("pid").alias("b")), "id").where("a < b").select("a", "b")
-        many = sizes.where(F.col("profiles") > FEW_PROFILES).select("id")
+        pairs = pairs.union(self._spanned(entries.join(some, "id")))
+        many = sizes.where(F.col("profiles") > MANY_PROFILES).select("id")
         if not many.isEmpty():
             pairs = pairs.union(self._crowded(written(entries.join(many, "id"), "dedup-crowded")))
-        return written(copies.union(pairs).select(F.least("a", "b").alias("rid_a"), F.greatest("a", "b").alias("rid_b")).distinct(), "dedup-candidates")
+        return pairs
+
+    def _spanned(self, entries: DataFrame) -> DataFrame:
+        """(a, b): pairs that connect what may link under identifiers with at most MANY_PROFILES profiles, by the terms of _crowded.
+
+        Profiles with the same name and values are one node. A node is compared with one of each set of connected nodes after
+        the other until it meets one that links, so pairs grow with profiles, not with their square. Where the rules still have
+        to see the pair itself, all pairs of two nodes that are not connected anyway are given.
+        """
+        govs, named = len(self.tiers.gov + self.tiers.other), bool(self.tiers.name)
+        sure = max(85.0, float(self.config.dedup_threshold))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[tuple[str, str], float] = {}
+
+            def alike(x: str, y: str) -> float:
+                if x == y or not named:
+                    return 100.0
+                at = (x, y) if x < y else (y, x)
+                if at not in known:
+                    if len(known) >= KNOWN_NAMES:
+                        known.clear()
+                    known[at] = fuzzy.name_similarity(*at)
+                return known[at]
+
+            for batch in batches:
+                a, b = [], []
+                for i in range(batch.num_rows):  # one identifier's profiles at a time become objects
+                    key, profiles = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    gov = key.startswith("gov:")
+                    least, settled = (70.0, 75.0) if gov else (85.0, sure)
+                    nodes: dict[tuple, list[int]] = {}
+                    for p in sorted(profiles, key=lambda p: p["pid"]):
+                        nodes.setdefault((p["name"], tuple(p["values"])), []).append(p["pid"])
+                    sets: list[list[tuple]] = []
+                    asked: list[tuple[tuple, tuple]] = []
+                    for x, rows in nodes.items():
+                        a += [rows[0]] * (len(rows) - 1)
+                        b += rows[1:]
+                        apart, joined = [], [x]
+                        for members in sets:
+                            for y in members:
+                                if not _compatible(x[1], y[1]):
+                                    continue
+                                similarity = alike(x[0], y[0])
+                                if similarity >= settled:
+                                    a.append(nodes[y][0])
+                                    b.append(rows[0])
+                                    joined += members
+                                    break
+                                if similarity >= least:
+                                    asked.append((y, x))
+                            else:
+                                apart.append(members)
+                        sets = [*apart, joined]
+                    place = {x: i for i, members in enumerate(sets) for x in members} if asked else {}
+                    for x, y in asked:
+                        if place[x] != place[y]:
+                            a += [i for i in nodes[x] for _ in nodes[y]]
+                            b += [j for _ in nodes[x] for j in nodes[y]]
+                    if len(a) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        a, b = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        values = F.when(F.col("id").startswith("gov:"), F.slice("values", 1, govs)).otherwise(F.col("values")) if govs else F.col("values")
+        # dealt by hand, as what an identifier costs shows in pairs of names, not in bytes
+        dealt = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+        rows = dealt.groupBy("id").agg(F.collect_list(F.struct("pid", "name", values.alias("values"))).alias("profiles"))
+        return rows.mapInArrow(run, "a long, b long")
 
     def _crowded(self, entries: DataFrame) -> DataFrame:
         """(a, b): pairs that connect what may link under identifiers with many profiles.
@@ -135,7 +223,7 @@ class Engine:
         if names are 70 alike (75, if addresses can be equal) and no gov column does. Whether columns agree depends on the columns
         that both rows have, so profiles are keyed by that: for each pair of sets of present columns under an identifier, by the
         values of those in both. All profiles of two similar names under one key are compatible, so each is paired with the
-        other name's first only. Where the rules still have to see the pair itself, all are paired.
+        first of one similar name, and the first of a name with those of all: rows don't grow with rows times names. Where the rules still have to see the pair itself, all are paired.
         """
         govs, gov = len(self.tiers.gov + self.tiers.other), F.col("id").startswith("gov:")
         sure = max(85.0, float(self.config.dedup_threshold))
@@ -162,10 +250,13 @@ class Engine:
         turned = ["id", F.col("other").alias("there"), F.col("there").alias("other"), "agreed", F.col("n").alias("n2")]
         first = nodes.groupBy("id", "there", "other", "agreed", "n").agg(F.min("pid").alias("first"))
         on = ["id", "there", "other", "agreed", "n2"]
-        mine = nodes.join(alike.withColumnRenamed("n1", "n").hint("merge"), ["id", "n"])
         settled = F.col("similarity") >= F.when(gov, 75.0).otherwise(sure)
-        star = mine.where(settled).join(first.select(*turned, "first").hint("merge"), on).where("pid != first").select(F.col("pid").alias("a"), F.col("first").alias("b"))
-        full = mine.where(~settled).join(nodes.select(*turned, F.col("pid").alias("b")).hint("merge"), on).where("pid < b").select(F.col("pid").alias("a"), "b")
+        lead = ["id", "there", "other", "agreed", "n"]
+        met = first.join(alike.where(settled).withColumnRenamed("n1", "n").hint("merge"), ["id", "n"]).join(first.select(*turned, F.col("first").alias("b")).hint("merge"), on)
+        met = written(met.select(*lead, F.col("first").alias("a"), "b"), "crowded-met")
+        star = nodes.join(met.groupBy(*lead).agg(F.min("b").alias("b")).hint("merge"), lead).select(F.col("pid").alias("a"), "b").union(met.select("a", "b")).where("a != b")
+        mine = nodes.join(alike.where(~settled).withColumnRenamed("n1", "n").hint("merge"), ["id", "n"])
+        full = mine.join(nodes.select(*turned, F.col("pid").alias("b")).hint("merge"), on).where("pid < b").select(F.col("pid").alias("a"), "b")
         return star.union(full)
 
     def judged(self, facts: DataFrame, pairs: DataFrame) -> DataFrame:
