@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,12 +123,17 @@ def domain_words() -> dict[str, list[str]]:
     return out
 
 
-def domain_scores(df: DataFrame, order: list[str], words: dict[str, list[str]] | None = None) -> DataFrame:
-    """domain, score: 1 for each column whose name has one of the domain's words, 0.5 for each of the first 20 values of a
-    string column that has one. words: a vocabulary, a list of words for each domain; by default domain_words()."""
+def domain_scores(df: DataFrame, order: list[str], words: dict[str, list[str]] | None = None, first_rows: int | None = 20) -> DataFrame:
+    """domain, score: 1 for each column whose name has one of the domain's words, 0.5 for each value of a string column that has
+    one, of the first rows in the order; first_rows None: of all rows, counted in one aggregate. words: a vocabulary, a list of
+    words for each domain; by default domain_words()."""
     vocabulary = words or domain_words()
     names = [c.lower().replace(" ", "_") for c in df.columns]
-    head = df.orderBy(*[q(c) for c in order]).select(*[F.lower(q(c)).alias(c) for c in strings(df)]).limit(20).collect() if strings(df) else []
+    if first_rows is None:
+        each = df.select(F.explode(F.array(*[F.lower(q(c)) for c in strings(df)])).alias("v")) if strings(df) else df.select(F.lit(None).cast("string").alias("v"))
+        hits = stats_row(each, {d: F.count_if(reduce(Column.__or__, (F.contains("v", F.lit(w)) for w in ws), F.lit(False))) for d, ws in vocabulary.items()})
+        return rows_frame(df.sparkSession, [(d, float(sum(any(w in n for w in ws) for n in names)) + 0.5 * hits[d]) for d, ws in vocabulary.items()], "domain string, score double")
+    head = df.orderBy(*[q(c) for c in order]).select(*[F.lower(q(c)).alias(c) for c in strings(df)]).limit(first_rows).collect() if strings(df) else []
     values = [v for r in head for v in r if v is not None]
     rows = [(d, float(sum(any(w in n for w in ws) for n in names)) + 0.5 * sum(any(w in v for w in ws) for v in values)) for d, ws in vocabulary.items()]
     return rows_frame(df.sparkSession, rows, "domain string, score double")

@@ -308,7 +308,10 @@ _domains = f"""WITH names AS (SELECT unnest({_sales_cols}) AS c), head AS (SELEC
     words AS ({' UNION ALL '.join(f"SELECT '{d}' AS domain, unnest({w}) AS w" for d, w in classify.domain_words().items())}), n AS (SELECT DISTINCT domain, c FROM words, names WHERE contains(c, w)), v AS (SELECT domain, count(*) AS k FROM (SELECT domain, v, bool_or(contains(v, w)) AS hit FROM words, (SELECT v, row_number() OVER () AS i FROM vals WHERE v IS NOT NULL) GROUP BY domain, v, i) WHERE hit GROUP BY domain)
     SELECT domain, (SELECT count(*) FROM n WHERE n.domain = d.domain) + 0.5::DOUBLE * coalesce((SELECT k FROM v WHERE v.domain = d.domain), 0) AS score FROM (SELECT DISTINCT domain FROM words) d"""
 _add("domain_scores", _on("sales", lambda df: classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"])), _domains, "sales")
-_add("top_domains", _on("sales", lambda df: audit.top_domains(classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"]))), f"{_domains} ORDER BY score DESC, domain LIMIT 5", "sales")
+# of all values of the table
+_all_domains = f"WITH vals AS ({' UNION ALL '.join(f'SELECT lower({c}) AS v FROM sales' for c in _sales_text)}) " + " UNION ALL ".join(
+    f"SELECT '{d}' AS domain, {sum(any(w in c for w in ws) for c in _sales_cols)}::DOUBLE + 0.5::DOUBLE * count(*) FILTER ({' OR '.join(f"contains(v, '{w}')" for w in ws)}) AS score FROM vals" for d, ws in classify.domain_words().items())
+_add("top_domains", _on("sales", lambda df: audit.top_domains(classify.domain_scores(df.select(*_sales_cols), ["o_orderkey"], first_rows=None))), f"SELECT * FROM ({_all_domains.replace('WITH vals AS', 'WITH vals AS MATERIALIZED', 1)}) ORDER BY score DESC, domain LIMIT 5", "sales")
 _add("type_histogram", _on("people", lambda df: audit.type_histogram(df.sparkSession, classify.infer_schema(df, ["record_id"]))), f"SELECT semantic_type, count(*) AS n FROM ({_values('name, semantic_type', [(f"'{a}'", f"'{b}'") for a, b, *_ in _semantic])}) GROUP BY 1", "people")
 _steps = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS step, CAST(o_orderkey % 3 AS INT) AS step_number, 'priority' AS \"column\", CAST(o_custkey % 5 AS VARCHAR) AS task, trim(customer_type) AS original, upper(trim(customer_type)) AS cleaned, 'e' AS explanation, CASE WHEN o_orderkey % 4 = 0 THEN 'info' WHEN o_orderkey % 4 = 1 THEN 'fix' ELSE 'change' END AS severity FROM sales"
 _entries = lambda df: df.selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN 'fill' ELSE 'case' END AS step", "CAST(o_orderkey % 3 AS INT) AS step_number", "'priority' AS column", "CAST(o_custkey % 5 AS STRING) AS task", "trim(customer_type) AS original", "upper(trim(customer_type)) AS cleaned", "'e' AS explanation", "CASE WHEN o_orderkey % 4 = 0 THEN 'info' WHEN o_orderkey % 4 = 1 THEN 'fix' ELSE 'change' END AS severity")
