@@ -22,6 +22,8 @@ from .bpe import PATTERN, share
 from .runtime import partitions, slices
 
 LENGTH = 2048
+#: Rows of a batch that become objects at a time.
+ROWS = 256
 #: Characters of text that make a shard, on average; a shard is packed in one task's memory.
 SHARD_CHARS = 2_000_000
 
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared).encode_ordinary
-        for batch in batches:
+        for batch in _few(batches):
             doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for start, end in slices(texts):
                 ids = [np.array(encode(x), "<i4") for x in texts[start:end]]
@@ -134,9 +136,26 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
                     d, k, n, b = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(b, pa.binary())], ["doc_id", "piece", "n", "ids"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, "doc_id long, piece int, n int, ids binary")
+    # the ids count, too: rows that share a null or repeated doc_id don't share a shard
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).alias("shard")
+    dealt = pieces.select(shard, "doc_id", "piece", "n", "ids").repartition(partitions(docs.sparkSession), "shard")  # a task packs its shards one by one
+    return dealt.sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece", "ids").mapInArrow(_packs(length), _PACKED)
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows: as objects, a whole batch of Spark's would take its size (up to 64 MB) once more."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _packs(length: int):
+    """Packs a sorted stream of pieces (shard, doc_id, piece, n, ids) shard by shard; holds the pieces of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
+        for batch in _few(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != now:
                     if held:
@@ -146,18 +165,14 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, shard_chars: int = SH
         if held:
             yield from _shard(now, held, length)
 
-    pieces = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, "doc_id long, piece int, n int, ids binary")
-    # the ids count, too: rows that share a null or repeated doc_id don't share a shard
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(shards)).alias("shard")
-    dealt = pieces.select(shard, "doc_id", "piece", "n", "ids").repartition(partitions(docs.sparkSession), "shard")  # a task packs its shards one by one
-    return dealt.sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece", "ids").mapInArrow(packed, _PACKED)
+    return run
 
 
 def _shard(shard: int, held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     rows = best_fit([x[2] for x in held], length)
-    for a in range(0, len(rows), 256):
+    for a in range(0, len(rows), ROWS):
         out = []
-        for seq, items in enumerate(rows[a : a + 256], a):
+        for seq, items in enumerate(rows[a : a + ROWS], a):
             sizes = [held[i][2] for i in items]
             out.append((shard, seq, sum(sizes), [held[i][0] for i in items], [held[i][1] for i in items], [0, *np.cumsum(sizes).tolist()], b"".join(held[i][3] for i in items), positions(sizes).astype("<i4").tobytes()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
