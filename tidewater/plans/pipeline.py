@@ -16,7 +16,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import classify, currency, dates, dedup, filters, impute, mapping, outliers, profile, rules, validate
 from ..operators.audit import change_counts, trail
-from ..operators.shared import q, strings, written
+from ..operators.shared import forget, q, strings, written
 from .advisor import Advisor, gated, spot_check
 from .planner import plan
 
@@ -68,6 +68,12 @@ def loaded(df: DataFrame) -> DataFrame:
     return rules.replace(df, {c: X.load_missing(q(c)) for c in strings(df)})
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, in turn. Files are read by bytes, so many rows that compress well are one task's, and so is what is
+    written of them, stage after stage."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def clean_texts(df: DataFrame, order: list[str]) -> DataFrame:
     """All texts but the order's without markup, odd characters and surplus white space."""
     return rules.replace(df, {c: X.clean_string(q(c)) for c in strings(df) if c not in order})
@@ -83,7 +89,7 @@ def clean(df: DataFrame, order: list[str], domain: str | None = None, intent: st
             changes.append(written(change_counts(before, after, order, number, step), "clean-changes"))
         return after
 
-    df = compared(df, written(loaded(df), "clean-loaded"), 1, "load")
+    df = compared(df, written(loaded(dealt(df)), "clean-loaded"), 1, "load")
     n0 = df.count()
     score0 = profile.quality_score(df).first()["quality_score"]
     audit.add(1, "profile", task="quality score", original=str(score0), explanation=f"{n0} rows")
@@ -99,10 +105,12 @@ def clean(df: DataFrame, order: list[str], domain: str | None = None, intent: st
     for c, s in schema.items():
         audit.add(3, "schema", c, s.semantic_type, explanation=s.imputation_strategy)
     df = filters.drop_missing_targets(df, list(targets))
-    raw, df = df, clean_texts(df, order)
+    # the filters look at all texts twice; written, they are cleaned once
+    raw, df = df, (texts := written(clean_texts(df, order), "clean-texts"))
     types = {c: s.semantic_type for c, s in schema.items()}
     df = filters.quality_filter(df, types, [c for c, t in types.items() if t in ("Email", "Name", "ID_Code", "Phone")])
     df = compared(raw, written(df, "clean-filtered"), 5, "text")
+    forget(texts)
     n1 = df.count()
     audit.add(5, "filter", task="rows", original=str(n0), cleaned=str(n1), severity="remove" if n1 < n0 else "info")
     money = currency.detect(df, config.min_money_share)
@@ -143,4 +151,4 @@ def clean(df: DataFrame, order: list[str], domain: str | None = None, intent: st
     return Result(df, metadata, trail(spark, audit), clusters, schema, strategies, every)
 
 
-__all__ = ["Result", "clean", "clean_texts", "loaded", "normalised", "standardise"]
+__all__ = ["Result", "clean", "clean_texts", "dealt", "loaded", "normalised", "standardise"]
